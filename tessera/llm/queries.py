@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import suffix_dedup
+from tessera.llm import cotraining, quality_rules, suffix_dedup
 from tessera.sources.tables import table
 
 
@@ -14,7 +14,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup,)}
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op10_quality_rules)}
 
 _OP1 = """
 WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\r\\v\\f]+[ \\t\\n\\r\\v\\f]*') AS tok FROM documents),
