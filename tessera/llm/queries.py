@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import cotraining, quality_rules, suffix_dedup
+from tessera.llm import cotraining, minhash_dedup, mixing, quality_rules, suffix_dedup
 from tessera.sources.tables import table
 
 
@@ -18,11 +18,19 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampled(table(spark, sf_dir, "documents"))
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_mixing, op7_minhash_dedup, op10_quality_rules)}
 
 _OP1 = """
 WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\r\\v\\f]+[ \\t\\n\\r\\v\\f]*') AS tok FROM documents),
@@ -38,4 +46,16 @@ SELECT w.doc_id,
 FROM w JOIN s ON s.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": _OP1}
+_OP3 = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\v\\f]+')) AS n FROM documents),
+s AS (SELECT source, sum(n) AS t, CAST(round(sqrt(sum(n)) * 1000) AS BIGINT) AS w FROM d GROUP BY source),
+b AS (SELECT source, t, CAST(sum(t) OVER () AS HUGEINT) * w // CAST(sum(w) OVER () AS HUGEINT) AS budget FROM s),
+e AS (SELECT source, CASE WHEN t = 0 THEN 1 ELSE budget // t END AS whole, CASE WHEN t = 0 THEN 0 ELSE budget % t END AS rest FROM b),
+k AS (SELECT d.doc_id, d.source, d.n, whole, rest, sum(n) OVER (PARTITION BY d.source
+  ORDER BY md5('mix|' || CAST(whole AS BIGINT) || '|' || doc_id), doc_id, n RANGE UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, source, CAST(n AS BIGINT) AS n_tokens,
+  unnest(range(CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM k
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_mixing": _OP3, "op1_suffix_dedup": _OP1}
