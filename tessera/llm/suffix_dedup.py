@@ -24,16 +24,18 @@ LENGTH, GRAM = 50, 12
 _U = np.uint64
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of t (whole numbers from 0), the shorter of two first where one begins the other."""
-    order = _induce(np.concatenate([np.asarray(t, np.int64) + 1, [0]]))
-    return order[1:]
+def suffix_array(t: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Order of the suffixes of t (whole numbers from 0), or of those at starts (rising), the shorter of two first where
+    one begins the other."""
+    t = np.concatenate([np.asarray(t, np.int64) + 1, [0]])
+    return _induce(t, np.arange(len(t) - 1) if starts is None else starts)
 
 
-def _induce(t: np.ndarray) -> np.ndarray:
+def _induce(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """t ends with a symbol less than all others; its own suffix isn't among starts."""
     n = len(t)
-    if n < 3:
-        return np.lexsort((np.arange(n)[::-1], t)) if n < 2 or t[0] != t[1] else np.arange(n)[::-1]
+    if not len(starts):
+        return starts
     step = np.sign(np.diff(t))
     where = np.where(step != 0, np.arange(n - 1), n - 1)
     where = np.minimum.accumulate(where[::-1])[::-1]
@@ -41,20 +43,17 @@ def _induce(t: np.ndarray) -> np.ndarray:
     small[:-1] = np.append(step, 1)[where] > 0
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     c = 2 * t + small
-    names, distinct = _name(c, lms, np.append(lms[1:], n - 1), None)
+    ranks, distinct = _name(c, lms, np.append(lms[1:], n - 1), None)
     if distinct < len(lms):
-        ranks = np.empty(len(lms), np.int64)
-        ranks[_induce(names)] = np.arange(len(lms))
-    else:
-        ranks = names
+        inner = np.concatenate([ranks[:-1] + 1, [0]])
+        ranks = np.zeros(len(lms), np.int64)
+        ranks[_induce(inner, np.arange(len(lms) - 1))] = np.arange(1, len(lms))
     full = np.zeros(n, np.int64)
     full[lms] = ranks
-    every = np.arange(n - 1)
-    nxt = np.minimum(np.searchsorted(lms, every, "right"), len(lms) - 1)
-    place, _ = _name(c, every, lms[nxt], full)
-    order = np.empty(n, np.int64)
-    order[0] = n - 1
-    order[place + 1] = every
+    nxt = np.minimum(np.searchsorted(lms, starts, "right"), len(lms) - 1)
+    place, _ = _name(c, starts, lms[nxt], full)
+    order = np.empty(len(starts), np.int64)
+    order[place] = starts
     return order
 
 
@@ -88,7 +87,7 @@ def _name(c: np.ndarray, begin: np.ndarray, end: np.ndarray, tail: np.ndarray |
 
 def _split(rank: np.ndarray, todo: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Refines ranks (the place of the first of its equals) by key; returns those that still have equals."""
-    order = np.lexsort((key, rank[todo]))
+    order = np.lexsort((key, rank[todo])) if rank.any() else np.argsort(key, kind="stable")
     ids = todo[order]
     r, k = rank[ids], key[order]
     new = np.ones(len(ids), bool)
@@ -103,15 +102,15 @@ def _split(rank: np.ndarray, todo: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def permuted_prefixes(t: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each place, the length it has in common with the suffix sorted before it. Only irreducible places are
-    compared; elsewhere the length is one less than at the place before."""
+    """For each place, the length it has in common with the suffix sorted before it in order. Only irreducible places
+    are compared; elsewhere the suffix before is the successor of that of the place before, and the length one less."""
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     i = np.arange(n)
-    prev = np.append(-1, t[:-1])
-    at = np.where(before > 0, prev[before], -2)
-    whole = (before < 0) | (at != prev) | (i == 0)
+    whole = np.ones(n, bool)
+    whole[1:] = (before[1:] < 1) | (before[:-1] + 1 != before[1:]) | (before[:-1] < 0)
+    whole[1:] |= t[i[1:] - 1] != t[np.maximum(before[1:], 1) - 1]
     start = i[whole & (before >= 0)]
     length = np.zeros(n, np.int64)
     live, a, b, done = start, start, before[start], 0
@@ -196,15 +195,16 @@ def repeats(segments: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     body[ends] = False
     t[ends] = np.arange(len(sizes))
     t[body] = ids + len(sizes)
-    order = suffix_array(t)
+    place = np.arange(len(t))
+    order = suffix_array(t, place[place + length <= np.repeat(ends, sizes + 1)])
     common = permuted_prefixes(t, order)[order] >= length
-    member = common | np.append(common[1:], False)
+    member = common | np.append(common[1:], False)[: len(common)]
     at, group = order[member], np.cumsum(~common)[member]
     s = np.searchsorted(starts, at, "right") - 1
     return group, s, at - starts[s]
 
 
-def _shard(length: int, budget: int = 400_000):
+def _shard(length: int, budget: int = 60_000):
     def solve(fps: list, docs: list, los: list, texts: list) -> pa.RecordBatch | None:
         column = pa.array(texts, pa.string())
         segs: list[np.ndarray] = []
