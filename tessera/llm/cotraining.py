@@ -132,7 +132,8 @@ def _score(views: Views):
     def run(batches: hashed.Batches) -> hashed.Batches:
         for batch in batches:
             text, meta = views.scores(batch)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], hashed.nullable(text), hashed.nullable(meta)], ["doc_id", "text_score", "meta_score"])
+            rest = ["label"] if "label" in batch.schema.names else []
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], hashed.nullable(text), hashed.nullable(meta), *(batch[n] for n in rest)], ["doc_id", "text_score", "meta_score", *rest])
 
     return run
 
@@ -154,12 +155,11 @@ def platt(s: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     return max(a, 0.0) / scale, b
 
 
-def _calibrate(views: Views, scores: DataFrame, held: DataFrame) -> float:
-    """Sets the views' calibrations from the labelled documents held out; returns the log odds of their labels."""
-    joined = scores.join(held.hint("merge"), F.col("doc_id") == F.col("label_id"))
+def _calibrate(views: Views, held: DataFrame) -> float:
+    """Sets the views' calibrations from the scores and labels of the documents held out; returns the labels' log odds."""
     prior = 0.0
     for v in ("text", "meta"):
-        rows = joined.filter(F.col(f"{v}_score").isNotNull()).groupBy(F.round(F.col(f"{v}_score"), 2).alias("s"), "label").count().toPandas()
+        rows = held.filter(F.col(f"{v}_score").isNotNull()).groupBy(F.round(F.col(f"{v}_score"), 2).alias("s"), "label").count().toPandas()
         if rows["label"].nunique() == 2:
             s, y, n = (rows[c].to_numpy(np.float64) for c in ("s", "label", "count"))
             views.platt[v] = platt(s, y, n)
@@ -179,19 +179,20 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident:
     have = set(docs.columns)
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(key(c).alias(f"{c}_key") if c in have else F.lit(0).cast("long").alias(f"{c}_key") for c in ("lang", "source")))
     marks = labels.filter("quality IN (0, 1)").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").cast("int").alias("label"))
-    train, held = marks.filter(~hashed.holdout(F.col("label_id"))), marks.filter(hashed.holdout(F.col("label_id")))
-    labelled = plain.join(train.hint("merge"), F.col("doc_id") == F.col("label_id")).select("text", "lang_key", "source_key", "label")
-    base = hashed.gathered(labelled.mapInArrow(_count_labelled, _COUNTS), list(_zeros()), hashed.BUCKETS)
+    apart = hashed.holdout(F.col("label_id"))
+    labelled = lambda mine, marks: mine.join(marks.hint("merge"), F.col("doc_id") == F.col("label_id"))
+    train = labelled(plain.filter(~hashed.holdout(F.col("doc_id"))), marks.filter(~apart)).select("text", "lang_key", "source_key", "label")
+    base = hashed.gathered(train.mapInArrow(_count_labelled, _COUNTS), list(_zeros()), hashed.BUCKETS)
     base = {k: c[:_META] if k.startswith("meta") else c for k, c in base.items()}
+    held = cut(labelled(plain.filter(hashed.holdout(F.col("doc_id"))), marks.filter(apart)).select("doc_id", "text", "lang_key", "source_key", "label"))
     views, kind = Views(base), docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, text_score double, meta_score double"
     for r in range(rounds + 1):
-        scores = plain.mapInArrow(_score(views), f"doc_id {kind}, text_score double, meta_score double")
-        if r == rounds:
-            scores = cut(scores)
-        prior = _calibrate(views, scores, held)
+        prior = _calibrate(views, held.mapInArrow(_score(views), schema + ", label int"))
         if r < rounds:
             more = hashed.gathered(plain.mapInArrow(_count_confident(views, confident), _COUNTS), list(_zeros()), hashed.BUCKETS)
             views = Views({k: c + more[k][: len(c)] for k, c in base.items()})
+    scores = plain.mapInArrow(_score(views), schema)
     odds = [F.col(f"{v}_score") * views.platt[v][0] + views.platt[v][1] for v in ("text", "meta")]
     p = lambda x: F.round(1 / (1 + F.exp(-x)), 6)
     out = scores.select("doc_id", p(odds[0]).alias("p_text"), p(odds[1]).alias("p_meta"), p(odds[0] + odds[1] - prior).alias("p_quality"))
