@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import cotraining, minhash_dedup, mixing, quality_rules, subwords, suffix_dedup
+from tessera.llm import cotraining, minhash_dedup, mixing, quality_rules, subwords, suffix_dedup, warc
 from tessera.sources.tables import table
 
 
@@ -22,6 +22,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolved_revisits(warc.capture_log(table(spark, sf_dir, "pages")))
+    lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -34,7 +40,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_mixing, op7_minhash_dedup, op9_sentencepiece, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_mixing, op4_warc_revisits, op7_minhash_dedup, op9_sentencepiece, op10_quality_rules)}
 
 _OP1 = """
 WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\r\\v\\f]+[ \\t\\n\\r\\v\\f]*') AS tok FROM documents),
@@ -62,4 +68,23 @@ SELECT doc_id, source, CAST(n AS BIGINT) AS n_tokens,
   unnest(range(CAST(whole + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS BIGINT))) AS epoch FROM k
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": _OP3, "op1_suffix_dedup": _OP1}
+_OP4 = """
+WITH u AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#[\\s\\S]*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+v AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^[^@]*@', ''), '^www[0-9]*\\.', ''), ':(80|443)$', '') AS host,
+  regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\\?([\\s\\S]*)$', 1), '&'),
+    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM u),
+c AS (SELECT page_id, html, md5(html) AS tag, 'day ' || (page_id // 7) AS day, page_id % 5 AS turn,
+  CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS curl FROM v),
+p AS (SELECT *, max(page_id) OVER (PARTITION BY curl ORDER BY page_id) AS r FROM c WHERE curl IS NOT NULL),
+j AS (SELECT p.page_id, p.curl, p.r, o.html, o.tag AS o_tag, o.day AS o_day, p.turn,
+  CASE WHEN p.turn IN (0, 1) THEN p.tag = o.tag WHEN p.turn = 2 THEN false WHEN p.turn = 3 THEN p.day = o.day END AS agree
+  FROM p JOIN c AS o ON o.page_id = p.r)
+SELECT 2 * page_id + 1 AS revisit_id, 2 * r AS response_id, curl AS canonical_url,
+  CASE WHEN agree IS NULL THEN 'unvalidated' WHEN agree THEN 'resolved' ELSE 'mismatch' END AS status,
+  CASE WHEN agree THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || length(html) || chr(10) || 'content-type: text/html' || chr(10)
+    || 'date: ' || (2 * page_id + 1) || chr(10) || 'etag: ' || CASE WHEN turn = 1 THEN 'W/' ELSE '' END || '"' || o_tag || '"' || chr(10) || 'last-modified: ' || o_day END AS headers,
+  CASE WHEN agree THEN html END AS payload FROM j
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc_revisits": _OP4, "op3_mixing": _OP3, "op1_suffix_dedup": _OP1}
