@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import cotraining, minhash_dedup, mixing, quality_rules, subwords, suffix_dedup, warc
+from tessera.llm import cotraining, minhash_dedup, mixing, quality_rules, subwords, suffix_dedup, url_rules, warc
 from tessera.sources.tables import table
 
 
@@ -28,6 +28,10 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", F.array_join(lines, "\n"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_mixing, op4_warc_revisits, op7_minhash_dedup, op9_sentencepiece, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_mixing, op4_warc_revisits, op5_url_filters, op7_minhash_dedup, op9_sentencepiece, op10_quality_rules)}
 
 _OP1 = """
 WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\r\\v\\f]+[ \\t\\n\\r\\v\\f]*') AS tok FROM documents),
