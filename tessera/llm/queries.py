@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import cotraining, minhash_dedup, mixing, quality_rules, subwords, suffix_dedup, url_rules, warc
+from tessera.llm import cotraining, metric_search, minhash_dedup, mixing, quality_rules, subwords, suffix_dedup, url_rules, warc
 from tessera.sources.tables import table
 
 
@@ -32,6 +32,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op6_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_mixing, op4_warc_revisits, op5_url_filters, op7_minhash_dedup, op9_sentencepiece, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_mixing, op4_warc_revisits, op5_url_filters, op6_metric_search, op7_minhash_dedup, op9_sentencepiece, op10_quality_rules)}
 
 _OP1 = """
 WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\r\\v\\f]+[ \\t\\n\\r\\v\\f]*') AS tok FROM documents),
@@ -91,4 +95,11 @@ SELECT 2 * page_id + 1 AS revisit_id, 2 * r AS response_id, curl AS canonical_ur
   CASE WHEN agree THEN html END AS payload FROM j
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_revisits": _OP4, "op3_mixing": _OP3, "op1_suffix_dedup": _OP1}
+_OP6 = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_distance(a.v, b.v), 9) AS d FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor_id) AS INTEGER) AS rank FROM p)
+SELECT vec_id, neighbor_id, rank, round(d, 6) AS distance FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_metric_search": _OP6, "op4_warc_revisits": _OP4, "op3_mixing": _OP3, "op1_suffix_dedup": _OP1}
