@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import cotraining, metric_search, minhash_dedup, mixing, quality_rules, subwords, suffix_dedup, url_rules, warc
+from tessera.llm import cotraining, html_cut, metric_search, minhash_dedup, mixing, quality_rules, subwords, suffix_dedup, url_rules, warc
 from tessera.sources.tables import table
 
 
@@ -40,6 +40,10 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extracted(table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.sampled(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_mixing, op4_warc_revisits, op5_url_filters, op6_metric_search, op7_minhash_dedup, op9_sentencepiece, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_classifier, op3_mixing, op4_warc_revisits, op5_url_filters, op6_metric_search, op7_minhash_dedup, op8_html_extraction, op9_sentencepiece, op10_quality_rules)}
 
 _OP1 = """
 WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \\t\\n\\r\\v\\f]+[ \\t\\n\\r\\v\\f]*') AS tok FROM documents),
