@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,11 +12,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no more
-    than its running tasks. The session's spark.checkpoint.dir is used; a temporary folder only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder: the session's spark.checkpoint.dir; a temporary folder only where none is set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once and kept in the shared checkpoint folder, so that a lost executor costs no more
+    than its running tasks."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to a folder of its own in the checkpoint folder and read again."""
+    folder = f"{shared_folder(df.sparkSession)}/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
