@@ -1,15 +1,53 @@
-"""A corpus prepared by five operators in turn."""
+"""A corpus prepared by five operators in turn.
+
+Each stage takes the session, the documents that its predecessor kept and the folder of the tables, and works on all of
+them: documents that the likelihood ratio rejects go, one document of each group of near duplicates stays, repeated
+passages are removed, sources are mixed to their weights, and what is left is segmented into subword pieces. The first
+four return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tessera.llm import minhash_dedup, mixing, quality_rules, subwords, suffix_dedup
+from tessera.sources.tables import table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.filtered(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash_dedup.dedup_near(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_passages(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return subwords.sampled(docs)
+
+
+STAGES: list = [
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("mixing to target weights", mixture),
+    ("SentencePiece", pieces),
+]
+#: Hashed counts, minwise signatures and sampled lattices are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The last stage's rows over documents; each stage's are written as Parquet to the checkpoint folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
