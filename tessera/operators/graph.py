@@ -30,3 +30,188 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = now
     every = nodes.select("u").union(nodes.select("v")).distinct()
     return every.join(e, "u", "left").select(F.col("u").alias("node"), F.coalesce("v", "u").alias("component"))
+
+
+#: Edges up to which strong components are found in one task; beyond, by rounds of joins.
+TASK_EDGES = 1_000_000
+
+
+def _strong(edges: list[tuple]) -> dict:
+    """Node -> least node of its strong component, by two passes of depth-first search."""
+    out, back = {}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        back.setdefault(b, []).append(a)
+    order, seen = [], set()
+    for start in [*out, *back]:
+        if start in seen:
+            continue
+        seen.add(start)
+        todo = [(start, iter(out.get(start, ())))]
+        while todo:
+            node, rest = todo[-1]
+            nxt = next((x for x in rest if x not in seen), None)
+            if nxt is None:
+                order.append(node)
+                todo.pop()
+            else:
+                seen.add(nxt)
+                todo.append((nxt, iter(out.get(nxt, ()))))
+    of: dict = {}
+    for start in reversed(order):
+        if start in of:
+            continue
+        group, todo = [], [start]
+        of[start] = start
+        while todo:
+            node = todo.pop()
+            group.append(node)
+            for x in back.get(node, ()):
+                if x not in of:
+                    of[x] = start
+                    todo.append(x)
+        least = min(group)
+        for x in group:
+            of[x] = least
+    return of
+
+
+def strong_components(edges: DataFrame, a: str = "source", b: str = "target", task_edges: int = TASK_EDGES) -> DataFrame:
+    """(component, node) of every node on a cycle of two or more nodes; a component is named by its least node.
+
+    Up to task_edges edges, one task runs a search. Beyond, nodes without a way in or out are trimmed, each node takes
+    the greatest name that reaches it, and those nodes that reach their namesake backwards within the name are its
+    component; that repeats on what is left.
+    """
+    e = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct())
+    kind = e.schema["u"].dataType.simpleString()
+    if e.count() <= task_edges:
+        import pandas as pd
+
+        def solve(rows: pd.DataFrame) -> pd.DataFrame:
+            of = _strong(list(zip(rows["u"].tolist(), rows["v"].tolist())))
+            out = pd.DataFrame({"component": list(of.values()), "node": list(of)})
+            return out[out.groupby("component")["node"].transform("size") > 1]
+
+        return e.groupBy(F.lit(0)).applyInPandas(solve, f"component {kind}, node {kind}")
+    found = None
+    while True:
+        e = _trimmed(e)
+        if e.isEmpty():
+            break
+        nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
+        color = cut(nodes.withColumn("c", F.col("node")))
+        while True:
+            over = e.join(color, e["u"] == color["node"]).groupBy("v").agg(F.max("c").alias("o"))
+            now = cut(color.join(over, color["node"] == over["v"], "left").select("node", F.greatest("c", "o").alias("n"), "c"))
+            color, changed = now.select("node", F.col("n").alias("c")), not now.filter("n <> c").isEmpty()
+            if not changed:
+                break
+        same = e.join(color.withColumnsRenamed({"node": "u", "c": "cu"}), "u").join(color.withColumnsRenamed({"node": "v", "c": "cv"}), "v").filter("cu = cv").select("u", "v", "cu")
+        same = cut(same)
+        front = color.filter("node = c")
+        reached = cut(front)
+        while not front.isEmpty():
+            back = same.join(front, (same["v"] == front["node"]) & (same["cu"] == front["c"])).select(F.col("u").alias("node"), F.col("cu").alias("c")).distinct()
+            front = cut(back.join(reached, ["node", "c"], "left_anti"))
+            reached = cut(reached.unionByName(front))
+        groups = reached.groupBy("c").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        part = cut(reached.join(groups, "c").select("component", "node"))
+        found = part if found is None else found.unionByName(part)
+        done = reached.select("node")
+        e = cut(e.join(done.withColumnRenamed("node", "u"), "u", "left_anti").join(done.withColumnRenamed("node", "v"), "v", "left_anti").select("u", "v"))
+    return found if found is not None else edges.sparkSession.createDataFrame([], f"component {kind}, node {kind}")
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Edges without those at nodes that have no way in or no way out."""
+    n = e.count()
+    while n:
+        both = e.select(F.col("v").alias("u")).distinct()
+        e = cut(e.join(both, "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
+        n, before = e.count(), n
+        if n == before:
+            break
+    return e
+
+
+def cycles(components: DataFrame) -> DataFrame:
+    """(subject, size) of each component: its nodes in order, as "cycle: a <-> b"."""
+    return components.groupBy("component").agg(F.concat(F.lit("cycle: "), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), " <-> ")).alias("subject"), F.count(F.lit(1)).alias("size")).select("subject", "size")
+
+
+def depths(bases: DataFrame, guard: int = 64) -> DataFrame:
+    """(node, depth, flagged) of each node of an inheritance table (node, base, known): 1 without bases, else one more
+    than the deepest base. A base that isn't known counts as 1 and flags the node, as does one that is inherited from so;
+    a node that its own bases lead back to, or a deeper chain than guard, has depth 1 and a flag."""
+    nodes = cut(bases.select("node").distinct())
+    edges = cut(bases.filter("base IS NOT NULL").select("node", "base", "known").distinct())
+    start = nodes.select("node", F.lit(1).alias("depth"), F.lit(False).alias("flagged"), F.lit(False).alias("cyclic"))
+    outside = edges.filter("NOT known").select("node", F.lit(2).alias("depth"), F.lit(True).alias("flagged"), F.lit(False).alias("cyclic"))
+    up = edges.filter("known").select(F.col("node").alias("below"), F.col("base").alias("above"))
+    front = cut(up.select(F.col("below").alias("node"), F.col("above").alias("at")))
+    ends = [start, outside]
+    far = outside.select(F.col("node").alias("at"))
+    k = 1
+    while not front.isEmpty() and k <= guard:
+        ends.append(front.select("node", F.lit(k + 1).alias("depth"), F.lit(False).alias("flagged"), (F.col("node") == F.col("at")).alias("cyclic")))
+        ends.append(front.join(far, "at", "left_semi").select("node", F.lit(k + 2).alias("depth"), F.lit(True).alias("flagged"), F.lit(False).alias("cyclic")))
+        front = cut(front.filter("node <> at").join(up, front["at"] == up["below"]).select("node", F.col("above").alias("at")).distinct())
+        k += 1
+    ends.append(front.select("node", F.lit(1).alias("depth"), F.lit(True).alias("flagged"), F.lit(True).alias("cyclic")))
+    every = ends[0]
+    for x in ends[1:]:
+        every = every.unionByName(x)
+    out = every.groupBy("node").agg(F.max("depth").alias("depth"), F.max("flagged").alias("flagged"), F.max("cyclic").alias("cyclic"))
+    return out.select("node", F.when(F.col("cyclic"), 1).otherwise(F.col("depth")).alias("depth"), (F.col("flagged") | F.col("cyclic")).alias("flagged"))
+
+
+def cohesion(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, lcom): how many groups a class's methods fall into that share no field and don't call one another.
+
+    members: class, method; links: class, method, kind and other: a field (kind f) or a method of the class (kind m) that
+    the method uses. A class without methods has 0 where it has a row with a null method.
+    """
+    key = lambda kind, c: F.struct(F.col("class").cast("string").alias("class"), F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name"))
+    own = members.filter("method IS NOT NULL").select("class", "method").distinct()
+    edges = own.select(key("m", "method").alias("a"), key("m", "method").alias("b")).union(links.select(key("m", "method").alias("a"), F.struct(F.col("class").cast("string").alias("class"), F.col("kind"), F.col("other").cast("string").alias("name")).alias("b")))
+    parts = connected_components(edges).filter("node.kind = 'm'")
+    kind = members.schema["class"].dataType.simpleString()
+    groups = parts.groupBy(F.col("node.class").cast(kind).alias("class")).agg(F.count_distinct("component").alias("lcom"))
+    return members.select("class").distinct().join(groups, "class", "left").na.fill(0, ["lcom"])
+
+
+def greedy_cover(cells: DataFrame) -> DataFrame:
+    """(test, step, gain): tests (test, item) in the order in which a greedy cover takes them, each the one of most items
+    not yet covered, the least name first. One task holds the distinct cells, as numbers."""
+    import pandas as pd
+
+    kind = cells.schema["test"].dataType.simpleString()
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        import numpy as np
+
+        tests, t = np.unique(rows["test"].to_numpy(), return_inverse=True)
+        _, i = np.unique(rows["item"].to_numpy(), return_inverse=True)
+        order = np.argsort(t, kind="stable")
+        items, edge = i[order], np.searchsorted(t[order], np.arange(len(tests) + 1))
+        free = np.ones(len(rows) + 1, bool)
+        heap = [(-(edge[k + 1] - edge[k]), k) for k in range(len(tests))]
+        heapq.heapify(heap)
+        out = []
+        while heap:
+            _, k = heapq.heappop(heap)
+            gain = int(free[items[edge[k] : edge[k + 1]]].sum())
+            if not gain:
+                continue
+            if heap and (-gain, k) > heap[0]:
+                heapq.heappush(heap, (-gain, k))
+                continue
+            free[items[edge[k] : edge[k + 1]]] = False
+            out.append((tests[k], len(out) + 1, gain))
+        return pd.DataFrame(out, columns=["test", "step", "gain"])
+
+    distinct = cells.select("test", "item").distinct().filter("test IS NOT NULL AND item IS NOT NULL")
+    return distinct.groupBy(F.lit(0)).applyInPandas(solve, f"test {kind}, step int, gain long")

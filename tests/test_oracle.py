@@ -1,0 +1,13 @@
+from __future__ import annotations
+
+import pytest
+
+from tessera.plans.queries import ORACLE_SQL, QUERIES
+from tests.oracle import same_rows
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, name):
+    same_rows(QUERIES[name](spark, FOLDER), ORACLE_SQL[name], FOLDER)
