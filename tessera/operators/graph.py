@@ -93,7 +93,7 @@ def strong_components(edges: DataFrame, a: str = "source", b: str = "target", ta
             out = pd.DataFrame({"component": list(of.values()), "node": list(of)})
             return out[out.groupby("component")["node"].transform("size") > 1]
 
-        return e.groupBy(F.lit(0)).applyInPandas(solve, f"component {kind}, node {kind}")
+        return e.groupBy(F.lit("all")).applyInPandas(solve, f"component {kind}, node {kind}")
     found = None
     while True:
         e = _trimmed(e)
@@ -214,4 +214,4 @@ def greedy_cover(cells: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["test", "step", "gain"])
 
     distinct = cells.select("test", "item").distinct().filter("test IS NOT NULL AND item IS NOT NULL")
-    return distinct.groupBy(F.lit(0)).applyInPandas(solve, f"test {kind}, step int, gain long")
+    return distinct.groupBy(F.lit("all")).applyInPandas(solve, f"test {kind}, step int, gain long")

@@ -1,3 +1,154 @@
+"""Import graphs, cycles, cohesion, inheritance and layers. Suppliers stand for modules in packages by nation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessera.operators import classes, graph, imports
 from tessera.plans.registry import registry
+from tessera.sources.tables import cut, table
 
 QUERIES, ORACLE_SQL, query = registry()
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select("n_nationkey", F.lower("r_name").alias("r"), F.lower("n_name").alias("n"))
+
+
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(places(spark, sf_dir)), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select("s_suppkey", "s_nationkey", "s_acctbal", "r", "n", F.concat(F.col("r"), F.lit("."), F.col("n"), F.lit(".s"), F.col("s_suppkey").cast("string")).alias("module"))
+
+
+_SQL_S = "s AS (SELECT s_suppkey, s_nationkey, s_acctbal, lower(r_name) AS r, lower(n_name) AS n, lower(r_name) || '.' || lower(n_name) || '.s' || s_suppkey AS module FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)"
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of one order depend on those of it whose nations come before theirs."""
+    s = suppliers(spark, sf_dir)
+    of = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "module", "s_nationkey")
+    a, b = of.select("l_orderkey", F.col("module").alias("source"), F.col("s_nationkey").alias("x")), of.select("l_orderkey", F.col("module").alias("target"), F.col("s_nationkey").alias("y"))
+    return a.join(b, "l_orderkey").filter("x > y").select("source", "target").distinct()
+
+
+_SQL_E = f"""{_SQL_S}, o AS (SELECT DISTINCT l_orderkey, module, s_nationkey FROM lineitem JOIN s ON l_suppkey = s_suppkey),
+e AS (SELECT DISTINCT a.module AS source, b.module AS target FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND a.s_nationkey > b.s_nationkey),
+i AS (SELECT module, (SELECT count(*) FROM e WHERE source = module) AS efferent, (SELECT count(*) FROM e WHERE target = module) AS afferent FROM s),
+k AS (SELECT *, CASE WHEN efferent + afferent = 0 THEN 0 ELSE efferent / (efferent + afferent) END AS instability FROM i)"""
+
+
+@query(r"""WITH p AS (SELECT n_nationkey, lower(r_name) AS r, lower(n_name) AS n FROM nation JOIN region ON r_regionkey = n_regionkey),
+m AS (SELECT DISTINCT r AS module FROM p UNION SELECT r || '.' || n FROM p UNION SELECT r || '.' || n || '.' || lower(c_mktsegment) FROM customer JOIN p ON c_nationkey = n_nationkey),
+f AS (SELECT 's' || s_suppkey AS source, CASE WHEN s_suppkey % 4 = 3 THEN 'other.' ELSE 'shop.shop.' END || r || CASE WHEN s_suppkey % 3 = 0 THEN '.missing' ELSE '.' || n END AS prefix, lower(c_mktsegment) AS nm FROM supplier JOIN p ON s_nationkey = n_nationkey JOIN customer ON c_nationkey = s_nationkey),
+w AS (SELECT DISTINCT source, prefix || '.' || nm AS wanted, prefix FROM f),
+t AS (SELECT source, wanted, 0 AS turn, wanted AS nm FROM w UNION ALL SELECT source, wanted, 1, prefix FROM w),
+c AS (SELECT *, unnest([0, 1, 2]) AS strip FROM t),
+x AS (SELECT source, wanted, turn, strip, string_split(nm, '.')[strip + 1:] AS parts FROM c WHERE strip = 0 OR nm LIKE repeat('shop.', strip) || '%'),
+y AS (SELECT source, wanted, turn, strip, parts, unnest(range(1, len(parts) + 1)) AS n FROM x),
+z AS (SELECT source, wanted, module, row_number() OVER (PARTITION BY source, wanted ORDER BY turn, strip, n DESC) AS i FROM y JOIN m ON m.module = array_to_string(parts[:n], '.'))
+SELECT DISTINCT source, module AS target FROM z WHERE i = 1""")
+def q_import_edges(spark, sf_dir):
+    p = places(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").join(F.broadcast(p), F.col("c_nationkey") == F.col("n_nationkey")).select("c_nationkey", F.lower("c_mktsegment").alias("segment"), "r", "n").distinct()
+    modules = p.select(F.col("r").alias("module")).union(p.select(F.concat_ws(".", "r", "n"))).union(c.select(F.concat_ws(".", "r", "n", "segment"))).distinct()
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(p), F.col("s_nationkey") == F.col("n_nationkey"))
+    prefix = F.concat(F.when(F.col("s_suppkey") % 4 == 3, "other.").otherwise("shop.shop."), F.col("r"), F.when(F.col("s_suppkey") % 3 == 0, F.lit(".missing")).otherwise(F.concat(F.lit("."), F.col("n"))))
+    names = c.groupBy("c_nationkey").agg(F.array_sort(F.collect_set("segment")).alias("names"))
+    facts = s.join(names, F.col("s_nationkey") == F.col("c_nationkey")).select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source"), prefix.alias("prefix"), "names")
+    return imports.resolve(facts, modules, "shop")
+
+
+@query(f"WITH {_SQL_E} SELECT module, efferent, afferent, round(instability, 6) AS instability FROM k")
+def q_coupling(spark, sf_dir):
+    return imports.coupling(suppliers(spark, sf_dir), edges(spark, sf_dir)).withColumn("instability", F.round("instability", 6))
+
+
+@query(f"WITH {_SQL_E} SELECT k.module, count(CASE WHEN t.instability - k.instability > 0.2 THEN 1 END) AS violations FROM k LEFT JOIN e ON e.source = k.module LEFT JOIN k t ON t.module = e.target GROUP BY k.module")
+def q_sdp(spark, sf_dir):
+    e = cut(edges(spark, sf_dir))
+    return imports.unstable_dependencies(e, imports.coupling(suppliers(spark, sf_dir), e))
+
+
+@query(f"""WITH {_SQL_E}, p AS (SELECT DISTINCT regexp_replace(source, '\\.[^.]*$', '') AS a, regexp_replace(target, '\\.[^.]*$', '') AS b FROM e), q AS (SELECT * FROM p WHERE a <> b), m AS (SELECT DISTINCT r || '.' || n AS module FROM s)
+SELECT module, (SELECT count(*) FROM q WHERE a = module) AS efferent, (SELECT count(*) FROM q WHERE b = module) AS afferent FROM m""")
+def q_package_rollup(spark, sf_dir):
+    packages = suppliers(spark, sf_dir).select(F.concat_ws(".", "r", "n").alias("module")).distinct()
+    return imports.coupling(packages, imports.package_edges(edges(spark, sf_dir))).select("module", "efferent", "afferent")
+
+
+@query(f"""WITH {_SQL_E}, c AS (SELECT 's' || c_nationkey AS key, avg(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS share FROM customer GROUP BY 1),
+a AS (SELECT module, share FROM s LEFT JOIN c ON c.key = 's' || (s_suppkey % 31))
+SELECT k.module, round(any_value(a.share), 6) AS abstractness, round(abs(any_value(a.share) + any_value(k.instability) - 1), 6) AS distance, round(avg(CASE WHEN e.target IS NOT NULL THEN coalesce(t.share, 0) END), 6) AS inversion
+FROM k JOIN a ON a.module = k.module LEFT JOIN e ON e.source = k.module LEFT JOIN a t ON t.module = e.target GROUP BY k.module""")
+def q_main_sequence(spark, sf_dir):
+    """Customers of one nation stand for the classes of the modules of one remainder."""
+    s, e = suppliers(spark, sf_dir), cut(edges(spark, sf_dir))
+    c = table(spark, sf_dir, "customer").select("c_nationkey", (F.col("c_acctbal") < 0).alias("abstract"))
+    of = s.join(c, F.col("s_suppkey") % 31 == F.col("c_nationkey")).select("module", "abstract")
+    out = imports.main_sequence(of, e, imports.coupling(s, e))
+    return out.select("module", *(F.round(x, 6).alias(x) for x in ("abstractness", "distance", "inversion")))
+
+
+@query(f"""WITH {_SQL_E}, l AS (SELECT * FROM (VALUES ('europe', 0), ('asia', 1), ('america', 2)) AS v(r, layer)),
+t AS (SELECT s.module, l.layer FROM s JOIN l ON l.r = s.r), u AS (SELECT e.source, e.target FROM e JOIN t a ON a.module = e.source JOIN t b ON b.module = e.target WHERE b.layer < a.layer)
+SELECT module, (SELECT count(*) FROM u WHERE source = module) AS violations, coalesce((SELECT array_to_string(list_sort(list(target))[:10], ',') FROM u WHERE source = module), '') AS targets FROM t""")
+def q_layering(spark, sf_dir):
+    return imports.layering(edges(spark, sf_dir), suppliers(spark, sf_dir), ["europe", "asia", "america"])
+
+
+def jumps(spark, sf_dir) -> DataFrame:
+    """Each supplier points at the one that a linear map of its key gives, so that cycles of several sizes form."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("source"))
+    n = s.agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("low"))
+    return s.crossJoin(F.broadcast(n)).select("source", (F.col("low") + (7 * F.col("source") + 3) % F.col("n")).alias("target"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, (SELECT min(s_suppkey) FROM supplier) + (7 * s_suppkey + 3) % (SELECT count(*) FROM supplier) AS b FROM supplier),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT least(x.a, min(x.b)) AS component, x.a AS node FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a""")
+def q_scc(spark, sf_dir):
+    return graph.strong_components(jumps(spark, sf_dir))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, (SELECT min(s_suppkey) FROM supplier) + (7 * s_suppkey + 3) % (SELECT count(*) FROM supplier) AS b FROM supplier),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT least(x.a, min(x.b)) AS component, x.a AS node FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a)
+SELECT 'cycle: ' || string_agg(CAST(node AS VARCHAR), ' <-> ' ORDER BY node) AS subject, count(*) AS size FROM c GROUP BY component""")
+def q_cycles(spark, sf_dir):
+    return graph.cycles(graph.strong_components(jumps(spark, sf_dir)))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS c, l_orderkey AS m, l_partkey AS f FROM lineitem), n AS (SELECT DISTINCT a.c, a.m, b.m AS o FROM e a JOIN e b ON a.c = b.c AND a.f = b.f),
+r AS (SELECT DISTINCT c, m, m AS o FROM e UNION SELECT r.c, r.m, n.o FROM r JOIN n ON r.c = n.c AND r.o = n.m), t AS (SELECT c, m, min(o) AS low FROM r GROUP BY c, m)
+SELECT c AS class, count(DISTINCT low) AS lcom FROM t GROUP BY c""")
+def q_lcom(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("class"), F.col("l_orderkey").alias("method"), F.col("l_partkey").alias("other"))
+    return graph.cohesion(l.select("class", "method"), l.select("class", "method", F.lit("f").alias("kind"), "other"))
+
+
+def bases(spark, sf_dir) -> DataFrame:
+    """Parts inherit from those of a third of their key; that of the seventh of it is a base outside for some."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), "p_size")
+    inside = p.filter("node div 3 <> node").select("node", F.expr("node div 3").alias("base"), F.lit(True).alias("known"))
+    outside = p.filter("p_size = 7").select("node", F.lit(-1).cast("long").alias("base"), F.lit(False).alias("known"))
+    alone = p.select("node", F.lit(None).cast("long").alias("base"), F.lit(False).alias("known"))
+    return inside.unionByName(outside).unionByName(alone)
+
+
+@query("""WITH RECURSIVE r AS (SELECT p_partkey AS node, p_partkey AS up, 1 AS depth FROM part UNION ALL SELECT node, up // 3, depth + 1 FROM r WHERE up // 3 <> up),
+f AS (SELECT node, max(depth) AS d, max(CASE WHEN p_size = 7 THEN depth + 1 END) AS x FROM r JOIN part ON p_partkey = up GROUP BY node)
+SELECT node, greatest(d, coalesce(x, 0)) AS depth, x IS NOT NULL AS flagged FROM f""")
+def q_dit(spark, sf_dir):
+    return graph.depths(bases(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS node, (SELECT count(*) FROM part c WHERE c.p_partkey // 3 = p.p_partkey AND c.p_partkey <> p.p_partkey) AS children FROM part p")
+def q_children(spark, sf_dir):
+    return classes.children(bases(spark, sf_dir))
+
+
+@query("""SELECT l_suppkey AS class, round(greatest(count(DISTINCT l_returnflag), 1) * (1 + sum(l_quantity) / 30.0) * (1 + count(*) / 60.0), 4) AS srp FROM lineitem GROUP BY l_suppkey""")
+def q_srp(spark, sf_dir):
+    by = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("class")).agg(F.count_distinct("l_returnflag").alias("g"), F.sum("l_quantity").alias("w"), F.count(F.lit(1)).alias("s"))
+    return by.select("class", F.round(classes.single_responsibility(F.col("g"), F.col("w"), F.col("s")), 4).alias("srp"))
