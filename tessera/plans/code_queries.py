@@ -1,3 +1,73 @@
+"""Extraction from source. Each part has a Python file written for it, whose metrics are known in closed form."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tessera.operators import clones, extract, gates
 from tessera.plans.registry import registry
+from tessera.sources.tables import table
 
 QUERIES, ORACLE_SQL, query = registry()
+
+
+def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p_partkey, path and content: a function of p_size % 4 parameters, a flag for odd sizes, a chain of p_size % 6 hops
+    and p_size % 5 nested branches."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    n, odd, hops, deep = (F.col("p_size") % k for k in (4, 2, 6, 5))
+    upto = lambda k: F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: i < k)
+    params = F.array_join(F.concat(F.transform(upto(n), lambda i: F.concat(F.lit("a"), i.cast("string"))), F.when(odd == 1, F.array(F.lit("flag=True"))).otherwise(F.array().cast("array<string>"))), ", ")
+    branches = F.array_join(F.transform(upto(deep), lambda i: F.concat(F.repeat(F.lit("    "), i + 1), F.lit("if x:\n"))), "")
+    text = F.concat(F.lit("def f"), F.col("p_partkey").cast("string"), F.lit("("), params, F.lit("):\n    x = obj"), F.repeat(F.lit(".b"), hops), F.lit("\n"), branches, F.repeat(F.lit("    "), deep + 1), F.lit("y = g(x + 1)\n    return x\n"))
+    return p.select("p_partkey", "p_size", F.concat(F.lit("src/part_"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("content"))
+
+
+def _found(spark, sf_dir, kind: str) -> DataFrame:
+    return extract.rows(extract.extracted(part_files(spark, sf_dir)), kind)
+
+
+_FUNCTION = {
+    "function_arity": "p_size % 4 + p_size % 2", "boolean_flag_parameters": "p_size % 2", "message_chain_depth": "p_size % 6", "function_statements": "p_size % 5 + 3",
+    "expression_flatness": "round((p_size % 5 + 2) / (p_size % 5 + 3), 6)", "pipeline_linearity": "0", "exception_discipline": "0", "global_state_reach": "0",
+    "cyclomatic_complexity": "p_size % 5 + 1", "cognitive_complexity": "(p_size % 5) * (p_size % 5 + 1) // 2", "halstead_volume": "round(3 * log2(3), 6)", "halstead_bugs": "round(log2(3) / 1000, 6)",
+}
+_FILE = {"lines_of_code": "p_size % 5 + 4", "logical_lines_of_code": "p_size % 5 + 4", "source_lines_of_code": "p_size % 5 + 4", "comment_lines": "0", "blank_lines": "0", "comment_density": "0", "marker_density": "0", "halstead_difficulty": "0.5"}
+
+
+def _closed(forms: dict[str, str]) -> str:
+    return "SELECT p_partkey, " + ", ".join(f"CAST({x} AS DOUBLE) AS {m}" for m, x in forms.items()) + " FROM part"
+
+
+def _wide(metrics: DataFrame, forms: dict[str, str]) -> DataFrame:
+    key = F.regexp_extract("path", "([0-9]+)", 1).cast("long").alias("p_partkey")
+    return metrics.groupBy(key).agg(*(F.round(F.max(F.when(F.col("metric") == m, F.col("value"))), 6).alias(m) for m in forms))
+
+
+@query(_closed(_FUNCTION))
+def q_ast_functions(spark, sf_dir):
+    return _wide(_found(spark, sf_dir, "metrics").filter("function IS NOT NULL"), _FUNCTION)
+
+
+@query(_closed(_FILE))
+def q_ast_files(spark, sf_dir):
+    return _wide(_found(spark, sf_dir, "metrics").filter("kind = 'file'"), _FILE)
+
+
+@query("SELECT 'f' || p_partkey AS name, 1 AS lineno, 'g' AS calls, 2 AS computation_weight, p_size % 5 + 3 AS statements, p_size % 5 AS nesting, true AS returns_value FROM part")
+def q_ast_callables(spark, sf_dir):
+    return _found(spark, sf_dir, "callables").select("name", "lineno", F.array_join("call_names", ",").alias("calls"), "computation_weight", "statements", "nesting", "returns_value")
+
+
+@query("SELECT p_size % 60 AS size, n FROM (SELECT count(*) AS n, min(p_size) AS p_size FROM part GROUP BY p_size % 4, p_size % 2, p_size % 6, p_size % 5) WHERE n >= 2")
+def q_ast_clones(spark, sf_dir):
+    sizes = part_files(spark, sf_dir).select("path", "p_size")
+    groups = clones.clone_groups(_found(spark, sf_dir, "clones")).join(sizes, "path")
+    return groups.groupBy("group_hash").agg((F.min("p_size") % 60).alias("size"), F.count(F.lit(1)).alias("n")).select("size", "n")
+
+
+@query("""WITH m AS (SELECT p_partkey, 'cyclomatic_complexity' AS metric, p_size % 5 + 1 AS v, 3 AS t FROM part UNION ALL SELECT p_partkey, 'function_arity', p_size % 4 + p_size % 2, 2 FROM part UNION ALL SELECT p_partkey, 'cyclomatic_complexity', p_size % 5 + 1, 3 FROM part)
+SELECT 'src/part_' || p_partkey || '.py' AS path, metric, CAST(v AS DOUBLE) AS value, count(*) AS n FROM m WHERE v > t GROUP BY ALL""")
+def q_ast_gate(spark, sf_dir):
+    limits = gates.thresholds(spark, [("python", "cyclomatic_complexity", 3.0, "<=", True, 0), ("python", "function_arity", 2.0, "<=", True, 1)], ())
+    return gates.violations(_found(spark, sf_dir, "metrics"), limits).groupBy("path", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
