@@ -40,7 +40,10 @@ def extracted(files: DataFrame) -> DataFrame:
     that aren't known are left out before anything is parsed. A content of null is an error row; a repeated row of a
     file gives its rows again, so drop those first."""
     known = files.select("path", "content").withColumn("language", language(F.col("path"))).filter("language <> 'unknown'").withColumn("_test", is_test(F.col("path")))
-    return known.mapInArrow(_run, "path string, language string, kind_of_row string, payload string")
+    spark = files.sparkSession
+    # parsing outweighs reading by far, so files are spread by count and not by bytes
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return known.repartition(tasks, "path").mapInArrow(_run, "path string, language string, kind_of_row string, payload string")
 
 
 def rows(found: DataFrame, kind: str) -> DataFrame:

@@ -170,15 +170,32 @@ def cohesion(members: DataFrame, links: DataFrame) -> DataFrame:
     """(class, lcom): how many groups a class's methods fall into that share no field and don't call one another.
 
     members: class, method; links: class, method, kind and other: a field (kind f) or a method of the class (kind m) that
-    the method uses. A class without methods has 0 where it has a row with a null method.
+    the method uses. A class without methods has 0 where it has a row with a null method. A task holds one class at a time.
     """
-    key = lambda kind, c: F.struct(F.col("class").cast("string").alias("class"), F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name"))
-    own = members.filter("method IS NOT NULL").select("class", "method").distinct()
-    edges = own.select(key("m", "method").alias("a"), key("m", "method").alias("b")).union(links.select(key("m", "method").alias("a"), F.struct(F.col("class").cast("string").alias("class"), F.col("kind"), F.col("other").cast("string").alias("name")).alias("b")))
-    parts = connected_components(edges).filter("node.kind = 'm'")
-    kind = members.schema["class"].dataType.simpleString()
-    groups = parts.groupBy(F.col("node.class").cast(kind).alias("class")).agg(F.count_distinct("component").alias("lcom"))
-    return members.select("class").distinct().join(groups, "class", "left").na.fill(0, ["lcom"])
+    import pandas as pd
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        of: dict = {}
+
+        def find(x):
+            while of.setdefault(x, x) != x:
+                of[x] = x = of[of[x]]
+            return x
+
+        methods = set()
+        for method, kind, other in zip(rows["method"], rows["kind"], rows["other"]):
+            if method is None:
+                continue
+            a = find(("m", method))
+            methods.add(("m", method))
+            if kind is not None and other is not None:
+                of[a] = find((kind, other))
+        return pd.DataFrame({"class": rows["class"].iloc[:1], "lcom": [len({find(m) for m in methods})]})
+
+    text = lambda c: F.col(c).cast("string").alias(c)
+    none = F.lit(None).cast("string")
+    every = members.select("class", text("method"), none.alias("kind"), none.alias("other")).union(links.select("class", text("method"), "kind", text("other"))).distinct()
+    return every.groupBy("class").applyInPandas(solve, f"class {members.schema['class'].dataType.simpleString()}, lcom long")
 
 
 def greedy_cover(cells: DataFrame) -> DataFrame:
