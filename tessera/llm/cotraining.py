@@ -4,7 +4,8 @@ The text view holds hashed words and pairs of words. The metadata view holds wha
 size, and the layout of the page (length of lines and shares of capitals, digits and marks), each in a few classes. Both
 are naive Bayes models over hashed features, counted over all labelled documents but a fifth that calibrates. In each of
 ``ROUNDS`` rounds every document of which one view is confident adds its features, under that label, to the other view's
-counts. Platt scaling calibrates the views; their log odds are added, less the prior's.
+counts. Platt scaling calibrates the views; their log odds are added, less the prior's. A document is kept from the
+probability on that all but ``REJECT`` of the good ones held out reach, and from 0.5 at most.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tessera.llm import hashed
 from tessera.llm import textvec as tv
 from tessera.sources.tables import cut
 
-ROUNDS, CONFIDENT, PRIOR = 2, 0.95, 20.0
+ROUNDS, CONFIDENT, PRIOR, REJECT = 2, 0.95, 20.0, 0.01
 _META = 1 << 12
 _KIND = np.zeros(256, np.int64)
 _KIND[[*range(65, 91)]] = 1
@@ -168,7 +169,7 @@ def _calibrate(views: Views, held: DataFrame) -> float:
 
 
 def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
-    """(doc_id, p_text, p_meta, p_quality, keep) of every document; keep is p_quality >= 0.5.
+    """(doc_id, p_text, p_meta, p_quality, keep) of every document; keep is p_quality >= threshold.
 
     Labels other than 0 and 1, null ones and those of no document count for nothing; of several labels of one document
     the least counts. Where one class lacks labels, scores stay uncalibrated. A null, empty or white text has null
@@ -192,8 +193,10 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident:
         if r < rounds:
             more = hashed.gathered(plain.mapInArrow(_count_confident(views, confident), _COUNTS), list(_zeros()), hashed.BUCKETS)
             views = Views({k: c + more[k][: len(c)] for k, c in base.items()})
-    scores = plain.mapInArrow(_score(views), schema)
     odds = [F.col(f"{v}_score") * views.platt[v][0] + views.platt[v][1] for v in ("text", "meta")]
     p = lambda x: F.round(1 / (1 + F.exp(-x)), 6)
-    out = scores.select("doc_id", p(odds[0]).alias("p_text"), p(odds[1]).alias("p_meta"), p(odds[0] + odds[1] - prior).alias("p_quality"))
-    return out.withColumn("keep", F.coalesce(F.col("p_quality") >= 0.5, F.lit(False)))
+    quality = p(odds[0] + odds[1] - prior).alias("p_quality")
+    good = held.mapInArrow(_score(views), schema + ", label int").filter("label = 1").select(quality)
+    line = min(0.5, hashed.quantile(good, "p_quality", REJECT))
+    out = plain.mapInArrow(_score(views), schema).select("doc_id", p(odds[0]).alias("p_text"), p(odds[1]).alias("p_meta"), quality)
+    return out.withColumn("keep", F.coalesce(F.col("p_quality") >= line, F.lit(False)))
