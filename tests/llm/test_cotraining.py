@@ -33,7 +33,7 @@ def test_held_out_accuracy(spark):
     rest = [d for d in got if d >= 150]
     assert len(rest) == 750 and np.mean([got[d].keep == true[d] for d in rest]) > 0.95
     line = min(got[d].p_quality for d in got if got[d].keep)
-    assert line <= 0.5 and all(got[d].keep == (got[d].p_quality >= line) for d in got)
+    assert all(got[d].keep == (got[d].p_quality >= line) for d in got) and all(got[d].p_quality < 0.5 for d in got if not got[d].keep)
     assert np.mean([(got[d].p_text >= 0.5) == true[d] for d in rest]) > 0.9
     assert np.mean([(got[d].p_meta >= 0.5) == true[d] for d in rest]) > 0.9
 
