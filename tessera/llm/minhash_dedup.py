@@ -5,7 +5,10 @@ Poisson process of rate 1 whose points fall into random slots, and a slot's valu
 and levels up to their weights, so that two signatures agree in a slot with the probability of the weighted Jaccard
 similarity. Levels are drawn hierarchically: a trigram has one process for each doubling of levels, whose points are
 thinned to a level each, and points are made in rising order until no slot can change any more. Bands of the signature
-propose pairs, the multisets' overlap is computed for each, and connected pairs form the groups.
+propose pairs, the multisets' overlap is computed for them, and connected pairs form the groups. Of the documents in one
+bucket of a band, each is first compared with the least doc_id and with the one before its own; then all pairs in a bucket
+that these left in different groups are compared too. The others are connected already, so the groups are those that
+comparing every pair of every bucket would give, without the square of a large group of copies.
 """
 
 from __future__ import annotations
@@ -138,30 +141,48 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
 
-def similar_pairs(docs: DataFrame) -> DataFrame:
-    """(a, b, similarity): proposed pairs whose multisets overlap enough. Of the documents in one bucket of a band each
-    is compared with the least doc_id and with the one before its own."""
-    mine = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bands = mine.mapInArrow(_bands(SLOTS, BANDS), "band long, doc_id long")
-    by = Window.partitionBy("band").orderBy("doc_id")
-    beside = bands.withColumn("first", F.first("doc_id").over(by)).withColumn("before", F.lag("doc_id").over(by)).filter("first < doc_id")
-    near = beside.select("doc_id", F.explode(F.array_distinct(F.array("first", "before"))).alias("hub"))
-    pairs = cut(near.filter("hub < doc_id").select("hub", "doc_id").distinct())
+def _compared(pairs: DataFrame, mine: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (hub, doc_id) whose multisets overlap enough."""
     wanted = pairs.union(pairs.select("hub", F.col("hub").alias("doc_id")).distinct())
     texts = wanted.hint("merge").join(mine, "doc_id").select("hub", "doc_id", "text")
     sorted_ = texts.repartition("hub").sortWithinPartitions("hub", F.col("doc_id") != F.col("hub"))
-    return sorted_.select("hub", "doc_id", "text").mapInArrow(_verify, "a long, b long, similarity double")
+    return sorted_.select("hub", "doc_id", "text").mapInArrow(_verify, "a long, b long, similarity double").select("a", "b").distinct()
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """(node, component) of documents in groups of two or more."""
+    mine = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bands = mine.mapInArrow(_bands(SLOTS, BANDS), "band long, doc_id long")
+    whole = Window.partitionBy("band")
+    by = whole.orderBy("doc_id")
+    beside = bands.select("band", "doc_id", F.min("doc_id").over(whole).alias("first"), F.max("doc_id").over(whole).alias("last"), F.lag("doc_id").over(by).alias("before"))
+    shared = cut(beside.filter("first < last").drop("last"))
+    near = shared.filter("first < doc_id").select("doc_id", F.explode(F.array_distinct(F.array("first", "before"))).alias("hub"))
+    pairs = cut(near.filter("hub < doc_id").select("hub", "doc_id").distinct())
+    edges = cut(_compared(pairs, mine))
+    groups = cut(connected_components(edges))
+    of = shared.select("band", "doc_id").distinct().join(groups, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("group"))
+    apart = of.withColumn("low", F.min("group").over(whole)).withColumn("high", F.max("group").over(whole)).filter("low < high").select("band", "doc_id", "group")
+    apart = cut(apart)
+    other = apart.select("band", F.col("doc_id").alias("hub"), F.col("group").alias("theirs"))
+    rest = apart.join(other, "band").filter("hub < doc_id AND group <> theirs").select("hub", "doc_id").distinct()
+    rest = cut(rest.join(pairs, ["hub", "doc_id"], "left_anti"))
+    if rest.isEmpty():
+        return groups
+    more = cut(_compared(rest, mine))
+    return groups if more.isEmpty() else connected_components(edges.unionByName(more))
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, group_id, keep) of each document that has near copies; group_id is the least doc_id, which stays.
 
-    Documents of a group are connected by pairs of weighted Jaccard similarity ``SIMILAR`` or more. Texts without words
+    Documents of a group are connected by pairs that share a bucket and have a weighted Jaccard similarity of ``SIMILAR``
+    or more. Texts without words
     (null, empty, white space) and rows with a null doc_id take no part; a text of one or two words is near only to the
     same words. Rows of one doc_id count as one document, alike or not. Other columns play no part; texts are read
     whole. An empty table gives no rows.
     """
-    groups = connected_components(cut(similar_pairs(docs).select("a", "b").distinct()))
+    groups = _groups(docs)
     return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"), (F.col("node") == F.col("component")).alias("keep"))
 
 

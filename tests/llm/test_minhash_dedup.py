@@ -55,6 +55,26 @@ def test_recall_against_all_pairs(spark):
     assert {r.doc_id for r in dedup_near(df).collect()} == set(docs) - {r.doc_id for r in rows if not r.keep}
 
 
+def test_every_pair_of_a_bucket_counts(spark, monkeypatch):
+    """With one slot a band, buckets hold documents that aren't alike; the groups are those of all their pairs."""
+    import pandas as pd
+
+    import tessera.llm.minhash_dedup as m
+
+    monkeypatch.setattr(m, "BANDS", m.SLOTS)
+    docs = corpus(random.Random(12))
+    sets = both(list(docs.values()), 3)[3]
+    df = spark.createDataFrame([(d, t) for d, t in docs.items()], "doc_id long, text string").repartition(3)
+    bands: pd.DataFrame = df.mapInArrow(m._bands(m.SLOTS, m.BANDS), "band long, doc_id long").toPandas()
+    pairs = {(b, a) for _, x in bands.groupby("band")["doc_id"] for a in x for b in x if b < a}
+    of = {d: d for d in docs}
+    for a, b in sorted(p for p in pairs if overlap(sets[p[0]], sets[p[1]]) >= SIMILAR):
+        low, high = sorted((of[a], of[b]))
+        of = {d: low if c == high else c for d, c in of.items()}
+    sizes = {c: sum(x == c for x in of.values()) for c in of.values()}
+    assert {r.doc_id: r.group_id for r in m.near_groups(df).collect()} == {d: c for d, c in of.items() if sizes[c] > 1}
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i % 7000}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "one"), (5, "one"), (6, "one two"), (None, "one"), (7, long), (8, long + " x"), (9, "la " * 3000), (10, "la " * 2000), (11, "la " * 900)]
