@@ -13,8 +13,8 @@ from tessera.operators import gates, graph, history
 from tessera.sources import code, numstat
 
 DEFAULT = {
-    "languages": [{"name": "python", "metrics": [{"type": m, "threshold": t, "comparison": c, "enabled": True} for m, t, c in gates.DEFAULTS]}],
-    "ignore_patterns": ["**/test_*.py", "**/*_test.py", "**/tests/**"], "use_gitignore": True, "profile": "standard",
+    "languages": [dict(name="python", metrics=[dict(type=m, threshold=t, comparison=c, enabled=True) for m, t, c in gates.DEFAULTS])],
+    "ignore_patterns": "**/tests/** **/*_test.py **/test_*.py".split(), "use_gitignore": True, "profile": "standard",
 }
 
 

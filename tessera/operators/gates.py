@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Metrics whose function rows inform and aren't gated.
-UNGATED = ("halstead_volume", "halstead_difficulty", "halstead_effort", "halstead_time", "halstead_bugs")
+UNGATED = tuple(f"halstead_{x}" for x in "bugs difficulty effort time volume".split())
 #: Thresholds where a language has no block of its own: metric, threshold, comparison.
 DEFAULTS = (
     ("cyclomatic_complexity", 10.0, "<="), ("maintainability_index", 50.0, ">="), ("halstead_volume", 1000.0, "<="),
@@ -20,7 +20,7 @@ BOUNDS = {
     "cyclomatic_complexity": (1, 50), "maintainability_index": (0, 100), "halstead_volume": (0, 100_000),
     "halstead_difficulty": (0, 100), "halstead_effort": (0, 1_000_000), "cognitive_complexity": (1, 100),
 }
-_SHORT = {"cyc": "cyclomatic_complexity", "mai": "maintainability_index", "vol": "halstead_volume", "dif": "halstead_difficulty", "eff": "halstead_effort", "cog": "cognitive_complexity"}
+_SHORT = {m[9:12] if m.startswith("halstead_") else m[:3]: m for m in BOUNDS}
 SCHEMA = "language string, metric string, threshold double, comparison string, enabled boolean, ord int"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tessera.functions.names import clarity, lies
 
 #: By profile: how much computation a function that tells a story may hold.
-TOLERANCE = {"extreme": 0, "standard": 4, "relaxed": 8}
+TOLERANCE = dict(zip(("relaxed", "standard", "extreme"), (8, 4, 0)))
 TRIVIAL, STEPS, STATEMENTS, NESTING, SHARE, CALLERS = 3, 9, 8, 1, 0.2, 5
 
 

@@ -150,7 +150,7 @@ def part_names(spark, sf_dir) -> DataFrame:
 
 _SQL_NAMES = """n AS (SELECT p_partkey, p_size, CASE WHEN p_size < 15 THEN 'get_' WHEN p_size < 25 THEN 'is_' WHEN p_size < 35 THEN 'build' ELSE 'tmp_' END ||
  list_reduce(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), lambda a, b: a || b) || '_' || p_size AS name FROM part),
-w AS (SELECT *, list_transform(list_filter(regexp_extract_all(name, '[a-z]+|[A-Z][a-z]*|[0-9]+'), lambda x: NOT regexp_matches(x, '^[0-9]')), lambda x: lower(x)) AS words FROM n)"""
+w AS (SELECT *, list_transform(list_filter(regexp_extract_all(name, '[A-Z]?[a-z]+|[A-Z]|[0-9]+'), lambda x: NOT regexp_matches(x, '^[0-9]')), lambda x: lower(x)) AS words FROM n)"""
 
 
 @query(f"WITH {_SQL_NAMES} SELECT p_partkey, name, array_to_string(words, ' ') AS words FROM w")

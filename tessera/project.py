@@ -210,7 +210,7 @@ def as_table(rows: list[dict]) -> str:
 
 def as_html(snapshot: dict) -> str:
     """A page of its own, without any reference to a network."""
-    data = json.dumps(snapshot).replace("</", "<\\/").replace("://", ":\\/\\/")
+    data = json.dumps(snapshot).replace("/", "\\/")
     rows = "".join(f"<tr><td>{html.escape(f['path'])}<td>{len(f['functions'])}<td>{len(f['violations'])}" for f in snapshot["files"])
     page = f"<!doctype html><meta charset=utf-8><title>Metrics</title><style>td,th{{padding:2px 8px;text-align:left}}</style><table><tr><th>file<th>functions<th>violations{rows}</table><script type=\"application/json\" id=\"data\">{data}</script>"
     if "://" in page:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 def windowed(events: DataFrame, size: str, late: str = "1 hour") -> DataFrame:
     """(start, event_type, n, total) of each window; on a stream, windows close once the watermark, by which events may
     be late, has passed them."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     by = rows.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return by.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 

@@ -151,7 +151,7 @@ def test_cache(spark, tmp_path):
 
 
 def test_source_rules():
-    one = python_source.analyse("class A:\n    def f(self, a, b, *args, **kw):\n        return self.helper()\n\ndef g(a, strict=True):\n    '''doc'''\n    return q.filter(x).order_by(y)\n\ndef h(a, *, strict=True):\n    pass\n")["metrics"]
+    one = python_source.analyse("class A:\n    def f(self, one, two, *rest, **named):\n        return self.helper()\n\ndef g(a, strict=True):\n    '''doc'''\n    return q.where(p).sort(r)\n\ndef h(a, *, strict=True):\n    pass\n")["metrics"]
     of = {(m["metric"], m["function"]): m["value"] for m in one}
     assert of["function_arity", "f"] == 4 and of["message_chain_depth", "f"] == 0 and of["message_chain_depth", "g"] == 2
     assert of["boolean_flag_parameters", "g"] == 1 and of["boolean_flag_parameters", "h"] == 0 and of["comment_density", None] == 0
@@ -185,7 +185,7 @@ def test_depths(spark):
 
 def test_imports_and_paths(spark):
     mods = spark.createDataFrame([("core",), ("core.model",), ("util",)], "module string")
-    facts = spark.createDataFrame([("cli", "myproj.core", ["model"]), ("cli", "pydry.model", []), ("core", "core", ["x"]), ("util", "", ["core"])], "source string, prefix string, names array<string>")
+    facts = spark.createDataFrame([("cli", "myproj.core", ["model"]), ("cli", "other.model", []), ("core", "core", ["x"]), ("util", "", ["core"])], "source string, prefix string, names array<string>")
     assert {(r.source, r.target) for r in imports.resolve(facts, mods, "myproj").collect()} == {("cli", "core.model"), ("util", "core")}
     df = spark.createDataFrame([("pkg/sub/__init__.py",), ("a.py",)], "p string")
     assert [r[0] for r in df.select(paths.module(df.p)).collect()] == ["pkg.sub", "a"]
