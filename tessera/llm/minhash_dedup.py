@@ -188,7 +188,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def dedup_near(docs: DataFrame) -> DataFrame:
     """docs with one document of each group (see near_groups), and of rows equal in doc_id and text one. All columns stay."""
-    drop = near_groups(docs).filter("NOT keep").select(F.col("doc_id").alias("_drop_id"))
-    kept = docs.join(drop.hint("merge"), docs["doc_id"] == F.col("_drop_id"), "left_anti")
+    names = {c: c if c in ("doc_id", "text") else f"x{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    drop = near_groups(plain).filter("NOT keep").select(F.col("doc_id").alias("_drop_id"))
+    kept = plain.join(drop.hint("merge"), F.col("doc_id") == F.col("_drop_id"), "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0)))
-    return kept.withColumn("_nth_row", F.when(F.col("doc_id").isNull(), 1).otherwise(nth)).filter("_nth_row = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    once = kept.withColumn("_nth_row", F.when(F.col("doc_id").isNull(), 1).otherwise(nth)).filter("_nth_row = 1")
+    return once.select(*(F.col(n).alias(c) for c, n in names.items()))

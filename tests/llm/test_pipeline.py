@@ -51,3 +51,24 @@ def test_stages_against_brute_force(spark):
     spelt = Counter((r.doc_id, r.text) for r in decoded(outs[5].filter("sample = 0")).collect())
     assert spelt == taken
     assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).select("doc_id", "sample", "perturbed").collect())) == sorted((r.doc_id, r["sample"], r.perturbed) for r in outs[5].collect())
+
+
+def test_odd_rows_in_every_stage(spark, tmp_path):
+    """Nulls, empty, long and repeated texts, and extra columns by the names that operators use, whose values stay."""
+    names = ["_drop_id", "_nth_row", "_score", "_c0", "x0", "_src", "_span_id", "spans", "group", "label_id", "band", "_text", "pieces"]
+    long = " ".join(f"w{i % 997}" for i in range(30_000))
+    texts = [(1, None, None, None), (2, "", "en", "a"), (3, " \n", None, "a"), (None, "one two three four", "en", None), (4, long, "en", "a"), (4, long, "en", "a"), (5, long + " z", None, None), (6, "plain words here", "en", "b"), (7, "plain words there", "en", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*t, None, *(f"{n}!" for n in names)) for t in texts], schema)
+    labels = spark.createDataFrame([(6, 1, 0), (7, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, str(tmp_path))
+            assert out.columns == docs.columns, name
+            rows = out.collect()
+            assert all(r[n] == f"{n}!" for r in rows for n in names), name
+            assert bool(rows) == (df is docs), name
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {1, 2, 3, 4, 5, 6, 7, None}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
