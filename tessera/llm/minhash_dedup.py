@@ -25,6 +25,8 @@ from tessera.operators.graph import connected_components
 from tessera.sources.tables import cut
 
 SLOTS, BANDS, SIMILAR, GRAM = 128, 32, 0.5, 3
+#: Pairs up to which their documents' ids are sent to all executors, so that other texts aren't moved; beyond, all are joined.
+SENT_PAIRS = 500_000
 _U = np.uint64
 
 
@@ -167,8 +169,12 @@ def _groups(docs: DataFrame) -> DataFrame:
     other = apart.select("band", F.col("doc_id").alias("hub"), F.col("group").alias("theirs"))
     rest = apart.join(other, "band").filter("hub < doc_id AND group <> theirs").select("hub", "doc_id").distinct()
     rest = cut(rest.join(pairs, ["hub", "doc_id"], "left_anti"))
-    if rest.isEmpty():
+    n = rest.count()
+    if not n:
         return groups
+    if n <= SENT_PAIRS:
+        ids = rest.select(F.explode(F.array("hub", "doc_id")).alias("doc_id")).distinct()
+        mine = mine.join(F.broadcast(ids), "doc_id", "left_semi")
     more = cut(_compared(rest, mine))
     return groups if more.isEmpty() else connected_components(edges.unionByName(more))
 
