@@ -18,7 +18,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
 
 #: Bytes of text that one pass of the kernels holds; a longer text is one pass of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
