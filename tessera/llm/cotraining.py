@@ -1,6 +1,6 @@
 """Quality by co-training of two classifiers that see different sides of a document.
 
-The text view holds hashed words and pairs of words. The metadata view holds what surrounds the words: language, source,
+The text view holds words and pairs of words, hashed to as many buckets as their number asks for. The metadata view holds what surrounds the words: language, source,
 size, and the layout of the page (length of lines and shares of capitals, digits and marks), each in a few classes. Both
 are naive Bayes models over hashed features, counted over all labelled documents but a fifth that calibrates. In each of
 ``ROUNDS`` rounds every document of which one view is confident adds its features, under that label, to the other view's
@@ -56,24 +56,39 @@ def metadata(raw: np.ndarray, offs: np.ndarray, lang: np.ndarray, source: np.nda
     return np.stack([(tv.key_hash(c, 100 + k) >> np.uint64(52)).astype(np.int64) for k, c in enumerate(columns)], axis=1)
 
 
-class Views:
-    """Both views' log odds by bucket, and their calibrations."""
+def _meta(counts: DataFrame, bits: int) -> np.ndarray:
+    """(metadata buckets, 2) counts, which lie in a part of their own behind the text's."""
+    rows = counts.filter(F.col("part") == hashed.parts(bits)).collect()
+    return sum((hashed.unpacked(r["n"], r["keys"], r["counts"], 2)[:_META] for r in rows), np.zeros((_META, 2), np.int64))
+
+
+def _log_odds(counts: np.ndarray, totals: np.ndarray, size: int) -> np.ndarray:
+    x = np.log((counts + 1.0) / (totals + size))
+    return x[:, 1] - x[:, 0]
 
-    def __init__(self, counts: dict[str, np.ndarray]):
-        self.weights = {}
-        for v in ("text", "meta"):
-            p, q = counts[f"{v}1"] + 1.0, counts[f"{v}0"] + 1.0
-            self.weights[v] = np.log(p / p.sum()) - np.log(q / q.sum())
+
+class Views:
+    """Both views' log odds by bucket, and their calibrations; without counts, features alone."""
+
+    def __init__(self, bits: int, counts: DataFrame | None = None):
+        self.bits, self.weights = bits, None
+        if counts is not None:
+            text = hashed.weighed(counts, 2, bits, lambda c, n: _log_odds(c, n, 1 << bits))
+            meta = _meta(counts, bits)
+            self.weights = {"text": counts.sparkSession.sparkContext.broadcast(text), "meta": _log_odds(meta, meta.sum(axis=0), _META)}
         self.platt = {"text": (1.0, 0.0), "meta": (1.0, 0.0)}
 
     def scores(self, batch: pa.RecordBatch, each=None) -> tuple[np.ndarray, np.ndarray]:
         text, meta = [], []
         lang, source = (batch[c].to_numpy(zero_copy_only=False) for c in ("lang_key", "source_key"))
         for i, j, raw, offs in tv.chunks(batch["text"]):
-            own, b = hashed.buckets(raw, offs)
+            own, b = hashed.buckets(raw, offs, self.bits)
             m = metadata(raw, offs, lang[i:j], source[i:j])
+            if self.weights is None:
+                each(own, b, m)
+                continue
             n = np.bincount(own, minlength=j - i)
-            s = np.where(n > 0, np.bincount(own, self.weights["text"][b], minlength=j - i) / (n + PRIOR), np.nan)
+            s = np.where(n > 0, np.bincount(own, self.weights["text"].value[b], minlength=j - i) / (n + PRIOR), np.nan)
             z = np.where(n > 0, self.weights["meta"][m].sum(axis=1), np.nan)
             text.append(s)
             meta.append(z)
@@ -86,45 +101,46 @@ class Views:
         return a * s + b
 
 
-def _zeros() -> dict[str, np.ndarray]:
-    return {f"{v}{y}": np.zeros(hashed.BUCKETS, np.int64) for v in ("text", "meta") for y in (0, 1)}
+def _count(tally: hashed.Tally, bits: int, k: int, text: np.ndarray, meta: np.ndarray) -> None:
+    tally.add(k, text)
+    tally.add(k, meta.ravel() + (1 << bits))
 
 
-_COUNTS = "bucket long, text0 long, text1 long, meta0 long, meta1 long"
-
+def _count_labelled(bits: int):
+    def run(batches: hashed.Batches) -> hashed.Batches:
+        tally, none = hashed.Tally(2), Views(bits)
+        for batch in batches:
+            label = batch["label"].to_numpy(zero_copy_only=False)
+            at = 0
 
-def _count_labelled(batches: hashed.Batches) -> hashed.Batches:
-    counts, none = _zeros(), Views(_zeros())
-    for batch in batches:
-        label = batch["label"].to_numpy(zero_copy_only=False)
-        at = 0
+            def each(own, b, m, *_):
+                nonlocal at
+                y = label[at : at + len(m)]
+                at += len(m)
+                for k in (0, 1):
+                    _count(tally, bits, k, b[(y == k)[own]], m[y == k])
 
-        def each(own, b, m, *_):
-            nonlocal at
-            y = label[at : at + len(m)]
-            at += len(m)
-            for k in (0, 1):
-                counts[f"text{k}"] += np.bincount(b[(y == k)[own]], minlength=hashed.BUCKETS)
-                counts[f"meta{k}"][:_META] += np.bincount(m[y == k].ravel(), minlength=_META)
+            none.scores(batch, each)
+            yield from tally.rows()
+        yield from tally.rows(last=True)
 
-        none.scores(batch, each)
-    yield hashed.emit(counts)
+    return run
 
 
 def _count_confident(views: Views, confident: float):
     line = float(np.log(confident / (1 - confident)))
 
     def run(batches: hashed.Batches) -> hashed.Batches:
-        counts = _zeros()
+        tally = hashed.Tally(2)
 
         def each(own, b, m, text, meta):
             for k, sign in ((0, -1), (1, 1)):
-                counts[f"text{k}"] += np.bincount(b[(sign * meta >= line)[own]], minlength=hashed.BUCKETS)
-                counts[f"meta{k}"][:_META] += np.bincount(m[sign * text >= line].ravel(), minlength=_META)
+                _count(tally, views.bits, k, b[(sign * meta >= line)[own]], m[sign * text >= line])
 
         for batch in batches:
             views.scores(batch, each)
-        yield hashed.emit(counts)
+            yield from tally.rows()
+        yield from tally.rows(last=True)
 
     return run
 
@@ -183,16 +199,16 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident:
     apart = hashed.holdout(F.col("label_id"))
     labelled = lambda mine, marks: mine.join(marks.hint("merge"), F.col("doc_id") == F.col("label_id"))
     train = labelled(plain.filter(~hashed.holdout(F.col("doc_id"))), marks.filter(~apart)).select("text", "lang_key", "source_key", "label")
-    base = hashed.gathered(train.mapInArrow(_count_labelled, _COUNTS), list(_zeros()), hashed.BUCKETS)
-    base = {k: c[:_META] if k.startswith("meta") else c for k, c in base.items()}
+    bits = hashed.bits(plain)
+    base = hashed.summed(train.mapInArrow(_count_labelled(bits), hashed.COUNTS), 2)
     held = cut(labelled(plain.filter(hashed.holdout(F.col("doc_id"))), marks.filter(apart)).select("doc_id", "text", "lang_key", "source_key", "label"))
-    views, kind = Views(base), docs.schema["doc_id"].dataType.simpleString()
+    views, kind = Views(bits, base), docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_score double, meta_score double"
     for r in range(rounds + 1):
         prior = _calibrate(views, held.mapInArrow(_score(views), schema + ", label int"))
         if r < rounds:
-            more = hashed.gathered(plain.mapInArrow(_count_confident(views, confident), _COUNTS), list(_zeros()), hashed.BUCKETS)
-            views = Views({k: c + more[k][: len(c)] for k, c in base.items()})
+            more = plain.mapInArrow(_count_confident(views, confident), hashed.COUNTS)
+            views = Views(bits, hashed.summed(base.unionByName(more), 2))
     odds = [F.col(f"{v}_score") * views.platt[v][0] + views.platt[v][1] for v in ("text", "meta")]
     p = lambda x: F.round(1 / (1 + F.exp(-x)), 6)
     quality = p(odds[0] + odds[1] - prior).alias("p_quality")

@@ -1,6 +1,6 @@
 """Quality by the likelihood ratio of hashed n-grams between a trusted part and the whole of a corpus.
 
-Words and pairs of words are hashed to ``hashed.BUCKETS`` buckets. One multinomial is counted over the trusted documents
+Words and pairs of words are hashed to buckets, as many as keep a bucket to ``hashed.LOAD`` distinct ones. One multinomial is counted over the trusted documents
 (quality 1 and not toxic), another over all documents. A document's score is the mean log ratio of its n-grams, with
 ``PRIOR`` neutral ones added so that a few words decide nothing. A fifth of the trusted documents, by a hash of doc_id,
 stays out of the trusted counts; the threshold is the score that all but ``REJECT`` of them reach.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import hashed
@@ -18,27 +19,31 @@ from tessera.llm import textvec as tv
 PRIOR, REJECT, SMOOTHING = 20.0, 0.005, 1.0
 
 
-def _count(batches: hashed.Batches) -> hashed.Batches:
-    counts = {n: np.zeros(hashed.BUCKETS, np.int64) for n in ("raw", "trusted")}
-    for batch in batches:
-        trusted = batch["trusted"].to_numpy(zero_copy_only=False)
-        for i, j, raw, offs in tv.chunks(batch["text"]):
-            own, b = hashed.buckets(raw, offs)
-            counts["raw"] += np.bincount(b, minlength=hashed.BUCKETS)
-            counts["trusted"] += np.bincount(b[trusted[i:j][own]], minlength=hashed.BUCKETS)
-    yield hashed.emit(counts)
+def _count(bits: int):
+    def run(batches: hashed.Batches) -> hashed.Batches:
+        tally = hashed.Tally(2)
+        for batch in batches:
+            trusted = batch["trusted"].to_numpy(zero_copy_only=False)
+            for i, j, raw, offs in tv.chunks(batch["text"]):
+                own, b = hashed.buckets(raw, offs, bits)
+                tally.add(0, b)
+                tally.add(1, b[trusted[i:j][own]])
+                yield from tally.rows()
+        yield from tally.rows(last=True)
+
+    return run
 
 
-def log_ratios(trusted: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log ratio of the two multinomials by bucket; 0 everywhere if nothing is trusted."""
-    if not trusted.sum():
-        return np.zeros(len(raw))
-    p, q = trusted + SMOOTHING, raw + SMOOTHING
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+def log_ratios(counts: np.ndarray, totals: np.ndarray, size: int) -> np.ndarray:
+    """Log ratio of the two multinomials, trusted to all, by bucket; 0 everywhere if nothing is trusted."""
+    if not totals[1]:
+        return np.zeros(len(counts))
+    p, q = counts[:, 1] + SMOOTHING, counts[:, 0] + SMOOTHING
+    return np.log(p / (totals[1] + SMOOTHING * size)) - np.log(q / (totals[0] + SMOOTHING * size))
 
 
-def _scorer(weights: np.ndarray, column: str):
-    score = hashed.normalised(weights, PRIOR)
+def _scorer(weights: Broadcast, bits: int, column: str):
+    score = hashed.normalised(weights, bits, PRIOR)
 
     def run(batches: hashed.Batches) -> hashed.Batches:
         for batch in batches:
@@ -49,17 +54,18 @@ def _scorer(weights: np.ndarray, column: str):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
-    """Log ratios by bucket, and the threshold. With no trusted documents, ratios of 0 and a threshold of 0."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, int, float]:
+    """Log ratios by bucket, the bits of a bucket, and the threshold. With no trusted documents, ratios of 0 and a threshold of 0."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("label_id")).distinct()
     train, held = (good.filter(x) for x in (~hashed.holdout(F.col("label_id")), hashed.holdout(F.col("label_id"))))
     marked = mine.join(train.hint("merge"), F.col("doc_id") == F.col("label_id"), "left").select("text", F.col("label_id").isNotNull().alias("trusted"))
-    counts = hashed.gathered(marked.mapInArrow(_count, "bucket long, raw long, trusted long"), ["raw", "trusted"], hashed.BUCKETS)
-    weights = log_ratios(counts["trusted"], counts["raw"])
-    scored = mine.select("doc_id", F.col("text").alias("_text")).mapInArrow(_scorer(weights, "_text"), "doc_id long, _score double")
+    bits = hashed.bits(mine)
+    counts = hashed.summed(marked.mapInArrow(_count(bits), hashed.COUNTS), 2)
+    weights = docs.sparkSession.sparkContext.broadcast(hashed.weighed(counts, 2, bits, lambda c, n: log_ratios(c, n, 1 << bits)))
+    scored = mine.select("doc_id", F.col("text").alias("_text")).mapInArrow(_scorer(weights, bits, "_text"), "doc_id long, _score double")
     of_held = scored.join(held.hint("merge"), F.col("doc_id") == F.col("label_id"))
-    return weights, min(0.0, hashed.quantile(of_held.filter("NOT isnan(_score)"), "_score", REJECT))
+    return weights, bits, min(0.0, hashed.quantile(of_held.filter("NOT isnan(_score)"), "_score", REJECT))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -69,19 +75,19 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     others have score 0 and are kept. Labels that are null or refer to no document count for nothing; repeated rows
     count as often as they occur and have equal results; other columns play no part. Texts are read whole.
     """
-    weights, line = fit(docs, labels)
+    weights, bits, line = fit(docs, labels)
     mine = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("_text"))
-    out = mine.mapInArrow(_scorer(weights, "_text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _score double")
+    out = mine.mapInArrow(_scorer(weights, bits, "_text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _score double")
     return out.select("doc_id", F.round("_score", 9).alias("score"), F.coalesce(F.col("_score") >= line, F.lit(False)).alias("keep"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that scored() keeps, with all their columns."""
-    weights, line = fit(docs, labels)
+    weights, bits, line = fit(docs, labels)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
     text = names["text"]
     plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", _score double"
-    return plain.mapInArrow(_scorer(weights, text), schema).filter(F.col("_score") >= line).select(*(F.col(n).alias(c) for c, n in names.items()))
+    return plain.mapInArrow(_scorer(weights, bits, text), schema).filter(F.col("_score") >= line).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 

@@ -79,3 +79,21 @@ def test_odd_rows(spark):
     lab = spark.createDataFrame([(1, None, None), (None, 1, 0), (99, 1, 0)], "doc_id long, quality int, toxic int")
     assert sorted(((r.doc_id or 0, r.score, r.keep) for r in scored(df, lab).collect()), key=str) == sorted([(1, 0.0, True), (1, 0.0, True), (0, 0.0, True), (2, 0.0, True), (3, None, False)], key=str)
     assert scored(df.limit(0), lab).count() == 0 and filtered(df, lab.limit(0)).count() == 4
+
+
+def test_buckets_grow_with_the_corpus(spark, monkeypatch):
+    """The load of a bucket stays between half of LOAD and LOAD, and scores are those of so many buckets."""
+    rng = random.Random(8)
+    docs = [(d, " ".join(f"w{rng.randrange(10**6)}" for _ in range(4000))) for d in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(hashed, "LOAD", 4)
+    bits = hashed.bits(df)
+    distinct = len({g for _, t in docs for w in [t.split()] for g in [*w, *zip(w, w[1:])]})
+    assert bits == 17 and 1.9 < distinct / (1 << bits) < 4.1
+    assert hashed.bits(df.limit(1)) == hashed.bits(df.limit(0)) == hashed.BITS
+    lab = spark.createDataFrame([(d, d % 2, 0) for d in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: (r.score, r.keep) for r in scored(df, lab).collect()}
+    monkeypatch.setattr(hashed, "BITS", 17)
+    monkeypatch.setattr(hashed, "BUCKETS", 1 << 17)
+    for (d, _), (s, keep) in brute(docs[:], [(d, d % 2, 0) for d in range(60)], held_of(spark, range(60))).items():
+        assert abs(got[d][0] - s) < 1e-8 and got[d][1] == keep
