@@ -5,7 +5,8 @@ size, and the layout of the page (length of lines and shares of capitals, digits
 are naive Bayes models over hashed features, counted over all labelled documents but a fifth that calibrates. In each of
 ``ROUNDS`` rounds every document of which one view is confident adds its features, under that label, to the other view's
 counts. Platt scaling calibrates the views; their log odds are added, less the prior's. A document is kept from the
-probability on that all but ``REJECT`` of the good ones held out reach, and from 0.5 at most.
+probability on that all but ``REJECT`` of the good ones held out reach, and from 0.5 at most. Toxic documents are the
+reject class too; the weights of their words (``toxicity``) are taken from the log odds.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm import hashed
+from tessera.llm import hashed, toxicity
 from tessera.llm import textvec as tv
 from tessera.sources.tables import cut
 
@@ -145,12 +146,12 @@ def _count_confident(views: Views, confident: float):
     return run
 
 
-def _score(views: Views):
+def _score(views: Views, words: toxicity.Lexicon):
     def run(batches: hashed.Batches) -> hashed.Batches:
         for batch in batches:
             text, meta = views.scores(batch)
             rest = ["label"] if "label" in batch.schema.names else []
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], hashed.nullable(text), hashed.nullable(meta), *(batch[n] for n in rest)], ["doc_id", "text_score", "meta_score", *rest])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], hashed.nullable(text), hashed.nullable(meta), pa.array(toxicity.score(words, batch["text"])), *(batch[n] for n in rest)], ["doc_id", "text_score", "meta_score", "toxic_score", *rest])
 
     return run
 
@@ -185,9 +186,10 @@ def _calibrate(views: Views, held: DataFrame) -> float:
 
 
 def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> DataFrame:
-    """(doc_id, p_text, p_meta, p_quality, keep) of every document; keep is p_quality >= threshold.
+    """(doc_id, p_text, p_meta, p_quality, keep) of every document; keep is p_quality >= threshold, without more toxic words
+    than good documents held out have.
 
-    Labels other than 0 and 1, null ones and those of no document count for nothing; of several labels of one document
+    A toxic label rejects whatever the quality. Labels other than 0 and 1, null ones and those of no document count for nothing; of several labels of one document
     the least counts. Where one class lacks labels, scores stay uncalibrated. A null, empty or white text has null
     probabilities and isn't kept; a null lang, source or n_chars is a class of its own. Repeated rows count as often as
     they occur and have equal results; other columns play no part. Texts are read whole, labels are all used.
@@ -195,24 +197,26 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident:
     key = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x00")))
     have = set(docs.columns)
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(key(c).alias(f"{c}_key") if c in have else F.lit(0).cast("long").alias(f"{c}_key") for c in ("lang", "source")))
-    marks = labels.filter("quality IN (0, 1)").groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").cast("int").alias("label"))
-    apart = hashed.holdout(F.col("label_id"))
-    labelled = lambda mine, marks: mine.join(marks.hint("merge"), F.col("doc_id") == F.col("label_id"))
-    train = labelled(plain.filter(~hashed.holdout(F.col("doc_id"))), marks.filter(~apart)).select("text", "lang_key", "source_key", "label")
+    reject = F.when(F.col("toxic") == 1, 0).when(F.col("quality").isin(0, 1), F.col("quality").cast("int"))
+    marks = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.min(reject).alias("label"), F.max(F.when(F.col("toxic").isin(0, 1), F.col("toxic"))).alias("toxic"))
+    known = hashed.labelled(plain, marks.filter("label IS NOT NULL OR toxic IS NOT NULL"))
+    train = known.filter(~hashed.holdout(F.col("doc_id")))
+    held = known.filter(hashed.holdout(F.col("doc_id")) & F.col("label").isNotNull())
+    words = toxicity.lexicon(train)
+    train = train.filter("label IS NOT NULL").select("text", "lang_key", "source_key", "label")
     bits = hashed.bits(plain)
     base = hashed.summed(train.mapInArrow(_count_labelled(bits), hashed.COUNTS), 2)
-    held = cut(labelled(plain.filter(hashed.holdout(F.col("doc_id"))), marks.filter(apart)).select("doc_id", "text", "lang_key", "source_key", "label"))
     views, kind = Views(bits, base), docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_score double, meta_score double"
+    schema = f"doc_id {kind}, text_score double, meta_score double, toxic_score double"
     for r in range(rounds + 1):
-        prior = _calibrate(views, held.mapInArrow(_score(views), schema + ", label int"))
+        prior = _calibrate(views, held.mapInArrow(_score(views, words), schema + ", label int"))
         if r < rounds:
             more = plain.mapInArrow(_count_confident(views, confident), hashed.COUNTS)
             views = Views(bits, hashed.summed(base.unionByName(more), 2))
     odds = [F.col(f"{v}_score") * views.platt[v][0] + views.platt[v][1] for v in ("text", "meta")]
     p = lambda x: F.round(1 / (1 + F.exp(-x)), 6)
-    quality = p(odds[0] + odds[1] - prior).alias("p_quality")
-    good = held.mapInArrow(_score(views), schema + ", label int").filter("label = 1").select(quality)
-    line = min(0.5, hashed.quantile(good, "p_quality", REJECT))
-    out = plain.mapInArrow(_score(views), schema).select("doc_id", p(odds[0]).alias("p_text"), p(odds[1]).alias("p_meta"), quality)
-    return out.withColumn("keep", F.coalesce(F.col("p_quality") >= line, F.lit(False)))
+    quality = p(odds[0] + odds[1] - prior - F.col("toxic_score")).alias("p_quality")
+    good = cut(held.mapInArrow(_score(views, words), schema + ", label int").filter("label = 1").select(quality, "toxic_score"))
+    line, toxic_line = min(0.5, hashed.quantile(good, "p_quality", REJECT)), toxicity.line(good, "toxic_score")
+    out = plain.mapInArrow(_score(views, words), schema).select("doc_id", p(odds[0]).alias("p_text"), p(odds[1]).alias("p_meta"), quality, "toxic_score")
+    return out.withColumn("keep", F.coalesce((F.col("p_quality") >= line) & (F.col("toxic_score") <= toxic_line), F.lit(False))).drop("toxic_score")

@@ -56,6 +56,16 @@ def bits(docs: DataFrame) -> int:
     return max(BITS, math.ceil(math.log2(max(n, 1) / LOAD)))
 
 
+#: Labels up to which they are sent to all executors; beyond it texts are shuffled to them.
+SENT_LABELS = 2_000_000
+
+
+def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of docs with the marks of their doc_id, which marks call label_id; kept in the checkpoint folder."""
+    marks = F.broadcast(marks) if marks.count() <= SENT_LABELS else marks.hint("merge")
+    return cut(docs.join(marks, F.col("doc_id") == F.col("label_id")))
+
+
 def holdout(doc_id: Column, parts: int = 5) -> Column:
     """True for one of so many parts of the documents, by a hash of doc_id."""
     return F.pmod(F.xxhash64(doc_id, F.lit("holdout")), F.lit(parts)) == 0

@@ -3,31 +3,32 @@
 Words and pairs of words are hashed to buckets, as many as keep a bucket to ``hashed.LOAD`` distinct ones. One multinomial is counted over the trusted documents
 (quality 1 and not toxic), another over all documents. A document's score is the mean log ratio of its n-grams, with
 ``PRIOR`` neutral ones added so that a few words decide nothing. A fifth of the trusted documents, by a hash of doc_id,
-stays out of the trusted counts; the threshold is the score that all but ``REJECT`` of them reach.
+stays out of the trusted counts; the threshold is the score that all but ``REJECT`` of them reach. Words of toxic labelled documents reject a document
+apart from this, by their sum (``toxicity``).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm import hashed
+from tessera.llm import hashed, toxicity
 from tessera.llm import textvec as tv
+from tessera.sources.tables import cut
 
 PRIOR, REJECT, SMOOTHING = 20.0, 0.005, 1.0
 
 
-def _count(bits: int):
+def _count(bits: int, k: int):
     def run(batches: hashed.Batches) -> hashed.Batches:
         tally = hashed.Tally(2)
         for batch in batches:
-            trusted = batch["trusted"].to_numpy(zero_copy_only=False)
-            for i, j, raw, offs in tv.chunks(batch["text"]):
-                own, b = hashed.buckets(raw, offs, bits)
-                tally.add(0, b)
-                tally.add(1, b[trusted[i:j][own]])
+            for _, _, raw, offs in tv.chunks(batch["text"]):
+                tally.add(k, hashed.buckets(raw, offs, bits)[1])
                 yield from tally.rows()
         yield from tally.rows(last=True)
 
@@ -42,52 +43,63 @@ def log_ratios(counts: np.ndarray, totals: np.ndarray, size: int) -> np.ndarray:
     return np.log(p / (totals[1] + SMOOTHING * size)) - np.log(q / (totals[0] + SMOOTHING * size))
 
 
-def _scorer(weights: Broadcast, bits: int, column: str):
-    score = hashed.normalised(weights, bits, PRIOR)
+class Model(NamedTuple):
+    """Log ratios by bucket, the bits of a bucket, the weights of toxic words, and both thresholds."""
+
+    weights: Broadcast
+    bits: int
+    words: toxicity.Lexicon
+    line: float = 0.0
+    toxic_line: float = 0.0
+
+    def keep(self) -> Column:
+        return (F.col("_score") >= self.line) & (F.col("_toxic") <= self.toxic_line)
+
+
+def _scorer(model: Model, column: str):
+    score, words = hashed.normalised(model.weights, model.bits, PRIOR), model.words
 
     def run(batches: hashed.Batches) -> hashed.Batches:
         for batch in batches:
             text = batch[column]
             keep = [n for n in batch.schema.names if n != column or column != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in keep), hashed.nullable(hashed.per_text(score, text))], [*keep, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in keep), hashed.nullable(hashed.per_text(score, text)), pa.array(toxicity.score(words, text))], [*keep, "_score", "_toxic"])
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, int, float]:
-    """Log ratios by bucket, the bits of a bucket, and the threshold. With no trusted documents, ratios of 0 and a threshold of 0."""
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """With no trusted documents, ratios of 0 and a threshold of 0."""
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("label_id")).distinct()
-    train, held = (good.filter(x) for x in (~hashed.holdout(F.col("label_id")), hashed.holdout(F.col("label_id"))))
-    marked = mine.join(train.hint("merge"), F.col("doc_id") == F.col("label_id"), "left").select("text", F.col("label_id").isNotNull().alias("trusted"))
+    good = F.coalesce((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.lit(False))
+    marks = labels.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(good).alias("trusted"), F.max(F.when(F.col("toxic").isin(0, 1), F.col("toxic"))).alias("toxic"))
+    known = hashed.labelled(mine, marks.filter("trusted OR toxic IS NOT NULL"))
+    train, held = (known.filter(x) for x in (~hashed.holdout(F.col("doc_id")), hashed.holdout(F.col("doc_id")) & F.col("trusted")))
     bits = hashed.bits(mine)
-    counts = hashed.summed(marked.mapInArrow(_count(bits), hashed.COUNTS), 2)
-    weights = docs.sparkSession.sparkContext.broadcast(hashed.weighed(counts, 2, bits, lambda c, n: log_ratios(c, n, 1 << bits)))
-    scored = mine.select("doc_id", F.col("text").alias("_text")).mapInArrow(_scorer(weights, bits, "_text"), "doc_id long, _score double")
-    of_held = scored.join(held.hint("merge"), F.col("doc_id") == F.col("label_id"))
-    return weights, bits, min(0.0, hashed.quantile(of_held.filter("NOT isnan(_score)"), "_score", REJECT))
+    counts = mine.select("text").mapInArrow(_count(bits, 0), hashed.COUNTS).unionByName(train.filter("trusted").select("text").mapInArrow(_count(bits, 1), hashed.COUNTS))
+    weights = hashed.weighed(hashed.summed(counts, 2), 2, bits, lambda c, n: log_ratios(c, n, 1 << bits))
+    model = Model(docs.sparkSession.sparkContext.broadcast(weights), bits, toxicity.lexicon(train))
+    of_held = cut(held.select("doc_id", F.col("text").alias("_text")).mapInArrow(_scorer(model, "_text"), "doc_id long, _score double, _toxic double"))
+    return model._replace(line=min(0.0, hashed.quantile(of_held.filter("NOT isnan(_score)"), "_score", REJECT)), toxic_line=toxicity.line(of_held, "_toxic"))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, keep) of every document.
 
-    keep is score >= threshold. A null, empty or white text has a null score and isn't kept. Without trusted labels all
+    keep is score >= threshold, and no more toxic words than good documents held out have. A null, empty or white text has a null score and isn't kept. Without trusted labels all
     others have score 0 and are kept. Labels that are null or refer to no document count for nothing; repeated rows
     count as often as they occur and have equal results; other columns play no part. Texts are read whole.
     """
-    weights, bits, line = fit(docs, labels)
+    model = fit(docs, labels)
     mine = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("_text"))
-    out = mine.mapInArrow(_scorer(weights, bits, "_text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _score double")
-    return out.select("doc_id", F.round("_score", 9).alias("score"), F.coalesce(F.col("_score") >= line, F.lit(False)).alias("keep"))
+    out = mine.mapInArrow(_scorer(model, "_text"), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _score double, _toxic double")
+    return out.select("doc_id", F.round("_score", 9).alias("score"), F.coalesce(model.keep(), F.lit(False)).alias("keep"))
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that scored() keeps, with all their columns."""
-    weights, bits, line = fit(docs, labels)
+    model = fit(docs, labels)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    text = names["text"]
     plain = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", _score double"
-    return plain.mapInArrow(_scorer(weights, bits, text), schema).filter(F.col("_score") >= line).select(*(F.col(n).alias(c) for c, n in names.items()))
-
-
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", _score double, _toxic double"
+    return plain.mapInArrow(_scorer(model, names["text"]), schema).filter(model.keep()).select(*(F.col(n).alias(c) for c, n in names.items()))
