@@ -26,8 +26,14 @@ SAMPLE, ROLE, SHARPNESS, SCALE = 4000, 2.0, 0.5, 1000
 #: Strength of edges, as log odds: to the next block by nearness in the tree, to the next of a parent, of a grandparent.
 NEXT, SIBLING, COUSIN = (1.0, 0.6, 0.25), 0.5, 0.25
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|svg|iframe|textarea)\b.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9-]*)([^>]*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
-_HINT = re.compile(r"""\b(?:class|id)\s*=\s*["']?[^"'>]*?(?<![a-z])(?:ads?|advert\w*|banner|nav\w*|menu|footer|sidebar|comments?|share|social|promo|cookies?|related|breadcrumbs?|widget|popup|sponsor\w*)(?![a-z])""", re.I)
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+#: The rest of a tag up to its >, which a quoted value may hold; no step is ever taken back.
+_REST = re.compile(r"""((?:[^>"'=]|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)>""")
+#: Elements whose content isn't text; those of SHUT are that also where nothing closes them.
+_MUTE = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>", re.I) for n in "script style noscript template title svg iframe textarea".split()}
+_SHUT = frozenset(("script", "style"))
+_NAMED = re.compile(r"""\b(?:class|id)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
+_HINT = re.compile(r"(?<![a-z])(?:ads?|advert\w*|banner|nav\w*|menu|footer|sidebar|comments?|share|social|promo|cookies?|related|breadcrumbs?|widget|popup|sponsor\w*)(?![a-z])", re.I)
 _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES = {"p": ("p",), "li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
@@ -44,6 +50,56 @@ class Block:
         self.text, self.linked, self.tag, self.parent, self.grand, self.role = text, linked, tag, parent, grand, role
 
 
+def tokens(page: str) -> Iterator[tuple[bool, str | None, str]]:
+    """(False, None, text) and (closes, name in lower case, rest of the tag) in order, in time linear in the page.
+
+    A tag ends at the first > outside of quoted values; where quotes don't pair up so that there is none, at the first >,
+    from there to the end of the page. A < that begins no tag is text. Comments, declarations and the content of mute
+    elements are left out; a mute element that nothing closes, but for scripts and styles, is taken for its tag alone, and
+    so is an svg that closes itself.
+    """
+    i, size, last, quoted, open_ended = 0, len(page), page.rfind(">"), True, set()
+    while i < size:
+        j = page.find("<", i)
+        if j < 0:
+            yield False, None, page[i:]
+            return
+        if j > i:
+            yield False, None, page[i:j]
+        if page.startswith("<!--", j):
+            end = page.find("-->", j + 4)
+            i = size if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), j) and j < last:
+            i = page.index(">", j) + 1
+            continue
+        m = _NAME.match(page, j) if j < last else None
+        if m is None:
+            yield False, None, "<"
+            i = j + 1
+            continue
+        found = _REST.match(page, m.end()) if quoted else None
+        if found is None:
+            quoted, end = False, page.index(">", m.end())
+            rest = page[m.end() : end]
+        else:
+            rest, end = found[1], found.end() - 1
+        name, i = m[2].lower(), end + 1
+        if name in _MUTE and not m[1]:
+            if name == "svg" and rest.endswith("/"):
+                continue
+            end = None if name in open_ended else _MUTE[name].search(page, i)
+            if end:
+                i = end.end()
+            elif name in _SHUT:
+                return
+            else:
+                open_ended.add(name)
+            continue
+        if name not in _MUTE:
+            yield bool(m[1]), name, rest
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, white space collapsed and entities resolved. Any text parses."""
     out: list[Block] = []
@@ -75,21 +131,15 @@ def blocks(page: str) -> list[Block]:
         if text:
             flush()
 
-    for m in _TOKEN.finditer(page):
-        kind = m.lastindex
-        if kind == 5:
-            s = m[5]
-            if "&" in s:
-                s = entities.unescape(s)
-            text.append(s)
-            if count.get("a"):
-                linked += len(s.split())
-            continue
-        name = m[3]
+    for closing, name, rest in tokens(page):
         if name is None:
+            if "&" in rest:
+                rest = entities.unescape(rest)
+            text.append(rest)
+            if count.get("a"):
+                linked += len(rest.split())
             continue
-        name = name.lower()
-        if m[2]:
+        if closing:
             if count.get(name) and name != "body":
                 k = len(stack) - 1
                 while stack[k][0] != name:
@@ -107,18 +157,18 @@ def blocks(page: str) -> list[Block]:
         if name in ("html", "body", "head"):
             continue
         if name in _ENDS_P and count.get("p"):
-            _imply(stack, ("p",), pop)
+            _imply(stack, solid, ("p",), pop)
         if name in _CLOSES:
             if any(count.get(x) for x in _CLOSES[name]):
-                _imply(stack, _CLOSES[name], pop)
+                _imply(stack, solid, _CLOSES[name], pop)
         inline = name in _INLINE
         if not inline:
             flush_needed()
         serial += 1
-        rest, role = m[4], solid[-1][2]
+        role = solid[-1][2]
         if name in _GOOD:
             role = 1
-        elif name in _BAD or (not inline and rest and _HINT.search(rest)):
+        elif name in _BAD or (not inline and rest and any(_HINT.search(x[1]) for x in _NAMED.finditer(rest))):
             role = -1
         if rest.endswith("/"):
             continue
@@ -131,13 +181,12 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _imply(stack: list, names: tuple, pop) -> None:
-    k = len(stack) - 1
-    while k > 0 and stack[k][0] in _INLINE:
-        k -= 1
-    while k > 0 and stack[k][0] in names:
+def _imply(stack: list, solid: list, names: tuple, pop) -> None:
+    while len(solid) > 1 and solid[-1][0] in names:
+        k = len(stack) - 1
+        while stack[k] is not solid[-1]:
+            k -= 1
         pop(k)
-        k -= 1
 
 
 def _share(n: int, of: int) -> int:
@@ -323,11 +372,11 @@ def extracted(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, text, n_blocks, n_content) of every page; text is the content blocks in order, one a line.
 
     A null or empty page, or one without text, has an empty text and no blocks. Pages are read whole, also where markup
-    is broken; scripts, styles, titles and comments are never text. Repeated rows have equal results, a null page_id is
+    is broken (see tokens); scripts, styles, comments and titles that are closed are never text. Repeated rows have equal results, a null page_id is
     carried along, other columns play no part. ``sample`` bounds, about, the pages that the classifier is trained on.
     """
     mine = pages.select("page_id", F.col("html").cast("string").alias("html"))
-    weights = fit(mine, sample)
+    weights, kind = fit(mine, sample), pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,4 +384,4 @@ def extracted(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
             text, n, kept = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(kept, pa.int64())], ["page_id", "text", "n_blocks", "n_content"])
 
-    return mine.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, text string, n_blocks long, n_content long")
+    return mine.mapInArrow(run, f"page_id {kind}, text string, n_blocks long, n_content long")
