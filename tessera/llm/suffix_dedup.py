@@ -4,61 +4,89 @@ A passage is a run of ``length`` or more words. Candidate places come from winno
 runs, each window of a passage's length gives its least one as an anchor, so equal passages always have an anchor in
 common. Anchors that occur once are dropped; the words around the others (every passage that holds the anchor) are
 gathered by anchor into shards. In a shard, suffixes are classified as smaller or larger than their successors, the
-leftmost smaller ones' substrings are named by sorting, recursively, the order of all suffixes is induced from them, and
-the permuted common prefixes show which passages are equal. Each occurrence but the first, in the order of doc_id and
-place, is removed. The result doesn't depend on how rows are spread over shards.
+leftmost smaller ones' substrings are named by sorting, recursively, the order of all suffixes is induced from them by two
+linear scans, and the permuted common prefixes show which passages are equal. Each occurrence but the first, in the order
+of doc_id and place, is removed. The result doesn't depend on how rows are spread over shards.
+
+Two things come before the arrays. Places whose surroundings are alike to the last word, by a hash of 64 bits beside the
+anchor's, are repeats of their first, which alone goes to the shard; so copies, however many, aren't gathered. And an
+anchor of more than ``HOT`` places would be too much for one task: its passages are grouped by the hash of all their words
+instead, by all tasks, which finds the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from tessera.llm import textvec as tv
+from tessera.sources.tables import cut, written
 
 LENGTH, GRAM = 50, 12
+#: Places of an anchor up to which one task orders the words around them; hot anchors that one pass over the texts looks for.
+HOT, SENT = 20_000, 1_000_000
 _U = np.uint64
 
 
-def suffix_array(t: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
-    """Order of the suffixes of t (whole numbers from 0), or of those at starts (rising), the shorter of two first where
-    one begins the other."""
-    t = np.concatenate([np.asarray(t, np.int64) + 1, [0]])
-    return _induce(t, np.arange(len(t) - 1) if starts is None else starts)
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of t (whole numbers from 0), the shorter of two first where one begins the other."""
+    return _induced(np.concatenate([np.asarray(t, np.int64) + 1, [0]]))[1:]
 
 
-def _induce(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """t ends with a symbol less than all others; its own suffix isn't among starts."""
+def _induced(t: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of t, which ends with a symbol less than all others."""
     n = len(t)
-    if not len(starts):
-        return starts
+    if n == 1:
+        return np.zeros(1, np.int64)
     step = np.sign(np.diff(t))
     where = np.where(step != 0, np.arange(n - 1), n - 1)
     where = np.minimum.accumulate(where[::-1])[::-1]
     small = np.ones(n, bool)
     small[:-1] = np.append(step, 1)[where] > 0
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    c = 2 * t + small
-    ranks, distinct = _name(c, lms, np.append(lms[1:], n - 1), None)
-    if distinct < len(lms):
-        inner = np.concatenate([ranks[:-1] + 1, [0]])
-        ranks = np.zeros(len(lms), np.int64)
-        ranks[_induce(inner, np.arange(len(lms) - 1))] = np.arange(1, len(lms))
-    full = np.zeros(n, np.int64)
-    full[lms] = ranks
-    nxt = np.minimum(np.searchsorted(lms, starts, "right"), len(lms) - 1)
-    place, _ = _name(c, starts, lms[nxt], full)
-    order = np.empty(len(starts), np.int64)
-    order[place] = starts
-    return order
-
-
-def _name(c: np.ndarray, begin: np.ndarray, end: np.ndarray, tail: np.ndarray | None) -> tuple[np.ndarray, int]:
-    """Ranks of c[begin : end + 1], and how many distinct ones. With tail, ties are ordered by tail[end]."""
+    ranks, distinct = _name(2 * t + small, lms, np.append(lms[1:], n - 1))
+    order = np.argsort(ranks) if distinct == len(lms) else _induced(np.concatenate([ranks[:-1] + 1, [0]]))
+    return _scans(t, small, lms[order])
+
+
+def _scans(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """Order of all suffixes from that of the leftmost smaller ones: these lie at the ends of their symbols' buckets; a
+    scan to the right puts each larger suffix in the next free place at the front of its bucket when its successor is
+    met, a scan to the left the smaller ones at the back."""
+    n = len(t)
+    ends = np.cumsum(np.bincount(t))
+    of = t[lms]
+    left = np.searchsorted(of, of, "right") - np.arange(len(lms))
+    out = np.full(n, -1, np.int64)
+    out[ends[of] - left] = lms
+    sa = out.tolist()
+    # bucket of the suffix before each place, if that one is larger (smaller) than its successor; -1 also at place -1
+    before = np.concatenate([[-1], t[:-1], [-1]])
+    is_small = np.concatenate([[False], small[:-1], [False]])
+    larger, smaller = np.where(is_small, -1, before).tolist(), np.where(is_small, before, -1).tolist()
+    head, tail = np.append(0, ends[:-1]).tolist(), (ends - 1).tolist()
+    for j in sa:
+        c = larger[j]
+        if c >= 0:
+            k = head[c]
+            head[c] = k + 1
+            sa[k] = j - 1
+    for j in reversed(sa):
+        c = smaller[j]
+        if c >= 0:
+            k = tail[c]
+            tail[c] = k - 1
+            sa[k] = j - 1
+    return np.array(sa)
+
+
+def _name(c: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, int]:
+    """Ranks of c[begin : end + 1], equal ones alike, and how many distinct ones there are."""
     bits = max(1, int(c.max()).bit_length())
     per = max(1, 62 // bits)
     size = end - begin + 1
@@ -73,12 +101,7 @@ def _name(c: np.ndarray, begin: np.ndarray, end: np.ndarray, tail: np.ndarray |
             key = (key << bits) | np.where(left > j, padded[p + j], 0)
         todo = _split(rank, todo, key)
         at += 1
-        if tail is None:
-            todo = todo[size[todo] > at * per] if len(todo) else todo
-    if tail is not None:
-        if len(todo):
-            _split(rank, todo, tail[end[todo]])
-        return rank, len(rank)
+        todo = todo[size[todo] > at * per]
     used = np.zeros(len(begin) + 1, np.int64)
     used[rank] = 1
     dense = np.cumsum(used) - 1
@@ -131,11 +154,20 @@ def _slide(h: np.ndarray, w: int, f: np.ufunc) -> np.ndarray:
     return f(h[: len(h) - (w - d)], h[w - d :]) if w > d else h
 
 
-def _tags(raw: np.ndarray, offs: np.ndarray, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """20 bits of each text's words, which keep rows of one doc_id and different texts apart."""
+def _least(h: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of GRAM words, and the least one of each passage, 0 for one across texts; none if all are too short."""
+    g, w = tv.ngrams(h, GRAM), length - GRAM + 1
+    if len(g) < w:
+        return g, g[:0]
+    least, own = _slide(g, w, np.minimum), tv.owners(bounds)
+    least[own[: len(least)] != own[length - 1 : length - 1 + len(least)]] = 0
+    return g, least
+
+
+def _run_hash(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     total = np.zeros(len(h) + 1, _U)
-    np.cumsum(tv.mix(h + tv.mix(np.arange(len(h), dtype=np.int64).view(_U) - np.repeat(bounds[:-1], np.diff(bounds)).astype(_U))), out=total[1:])
-    return (tv.mix(total[bounds[1:]] - total[bounds[:-1]]) >> _U(44)).astype(np.int64)
+    np.cumsum(h * tv.powers(0x9E3779B97F4A7C15, len(h)), out=total[1:])
+    return tv.mix((total[hi] - total[lo]) * tv.powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), len(h))[lo] + (hi - lo).astype(_U))
 
 
 def _anchors(length: int):
@@ -145,22 +177,35 @@ def _anchors(length: int):
         for batch in batches:
             for i, _, raw, offs in tv.chunks(batch["text"]):
                 _, _, h, bounds = tv.words(raw, offs)
-                g = tv.ngrams(h, GRAM)
-                if len(g) < w:
+                g, least = _least(h, bounds, length)
+                if not len(least):
                     continue
-                least, own = _slide(g, w, np.minimum), tv.owners(bounds)
-                least[own[: len(least)] != own[length - 1 : length - 1 + len(least)]] = 0
                 edge = np.zeros(w - 1, _U)
                 at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), w, np.maximum) == g)
                 if not len(at):
                     continue
-                o = own[at]
+                o = tv.owners(bounds)[at]
                 lo, hi = np.maximum(at - span, bounds[o]), np.minimum(at + length, bounds[o + 1])
-                total = np.zeros(len(h) + 1, _U)
-                np.cumsum(h * tv.powers(0x9E3779B97F4A7C15, len(h)), out=total[1:])
-                around = tv.mix((total[hi] - total[lo]) * tv.powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64), len(h))[lo] + (hi - lo).astype(_U))
-                pos = (at - bounds[o]) << 34 | (at - lo) << 27 | (hi - at) << 20 | _tags(raw, offs, h, bounds)[o]
-                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(around.view(np.int64)), batch["doc_id"].take(pa.array(i + o)), pa.array(pos)], ["fp", "around", "doc_id", "at"])
+                around, rows = _run_hash(h, lo, hi), pa.array(i + o)
+                pos = (at - bounds[o]) << 34 | (at - lo) << 27 | (hi - at) << 20 | batch["tag"].take(rows).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(around.view(np.int64)), batch["doc_id"].take(rows), pa.array(pos)], ["fp", "around", "doc_id", "at"])
+
+    return run
+
+
+def _windows(length: int, hot: np.ndarray):
+    """Each passage whose anchor is one of some sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, raw, offs in tv.chunks(batch["text"]):
+                _, _, h, bounds = tv.words(raw, offs)
+                _, least = _least(h, bounds, length)
+                at = np.flatnonzero((least != 0) & np.isin(least.view(np.int64), hot))
+                if len(at):
+                    o, key = tv.owners(bounds)[at], _run_hash(h, at, at + length)
+                    rows = pa.array(i + o)
+                    yield pa.RecordBatch.from_arrays([pa.array(least[at].view(np.int64)), pa.array(key.view(np.int64)), batch["doc_id"].take(rows), pa.array((at - bounds[o]) << 20 | batch["tag"].take(rows).to_numpy())], ["fp", "key", "doc_id", "at"])
 
     return run
 
@@ -170,13 +215,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = batch["wanted"]
         for i, j, raw, offs in tv.chunks(batch["text"]):
             a, e, h, bounds = tv.words(raw, offs)
-            tags = _tags(raw, offs, h, bounds)
-            part = wanted.slice(i, j - i)
+            part, tags = wanted.slice(i, j - i), batch["tag"].slice(i, j - i).to_numpy()
             flat = part.flatten()
             row = np.repeat(np.arange(j - i), np.asarray(part.value_lengths()))
             fp, at = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("fp", "at"))
             p, lo, hi = at >> 34, at >> 27 & 127, at >> 20 & 127
-            ok = ((at & (1 << 20) - 1) == tags[row]) & (bounds[row] + p + hi <= bounds[row + 1])
+            ok = bounds[row] + p + hi <= bounds[row + 1]
             row, fp, p, lo, hi = row[ok], fp[ok], p[ok], lo[ok], hi[ok]
             first = bounds[row] + p - lo
             data = raw.tobytes()
@@ -195,8 +239,9 @@ def repeats(segments: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     body[ends] = False
     t[ends] = np.arange(len(sizes))
     t[body] = ids + len(sizes)
-    place = np.arange(len(t))
-    order = suffix_array(t, place[place + length <= np.repeat(ends, sizes + 1)])
+    fits = np.arange(len(t)) + length <= np.repeat(ends, sizes + 1)
+    order = suffix_array(t)
+    order = order[fits[order]]
     common = permuted_prefixes(t, order)[order] >= length
     member = common | np.append(common[1:], False)[: len(common)]
     at, group = order[member], np.cumsum(~common)[member]
@@ -205,6 +250,8 @@ def repeats(segments: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
 
 
 def _shard(length: int, budget: int = 60_000):
+    kind: list[pa.DataType] = []
+
     def solve(fps: list, docs: list, los: list, texts: list) -> pa.RecordBatch | None:
         column = pa.array(texts, pa.string())
         segs: list[np.ndarray] = []
@@ -215,7 +262,9 @@ def _shard(length: int, budget: int = 60_000):
         if not len(group):
             return None
         lo = np.array(los)
-        ids = np.array([-(1 << 63) if d is None else d for d in docs])
+        named = [None, *sorted({d for d in docs if d is not None})]
+        number = {d: k for k, d in enumerate(named)}
+        ids = np.array([number[d] for d in docs])
         doc, pos, tag = ids[s], (lo[s] >> 20) + off, lo[s] & (1 << 20) - 1
         o = np.lexsort((tag, pos, doc, group))
         group, doc, pos, tag = group[o], doc[o], pos[o], tag[o]
@@ -237,11 +286,12 @@ def _shard(length: int, budget: int = 60_000):
         last, none = np.append(i[1:], len(o)) - 1, np.zeros(holders.shape[1], np.int64)
         ids = np.concatenate([doc[i], holders[0]])
         rest = (np.concatenate(x) for x in ((tag[i], holders[1]), (pos[i], none), (pos[last] + length, none)))
-        return pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == -(1 << 63)), *map(pa.array, rest)], ["doc_id", "tag", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array([named[k] for k in ids.tolist()], kind[0]), *map(pa.array, rest)], ["doc_id", "tag", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps, docs, los, texts, total = [], [], [], [], 0
         for batch in batches:
+            kind.append(batch.schema.field("doc_id").type)
             cols = [batch[c].to_pylist() for c in ("fp", "doc_id", "lo", "segment")]
             for fp, d, lo, x in zip(*cols):
                 if total >= budget and fp != fps[-1]:
@@ -259,12 +309,37 @@ def _shard(length: int, budget: int = 60_000):
     return run
 
 
-def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, tag, lo, hi): words lo to hi of the text repeat an earlier passage; 0 to 0 for the text that holds a first one."""
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text and 20 bits of the text, which keep rows of one doc_id and different texts apart."""
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).bitwiseAND(F.lit((1 << 20) - 1)).alias("tag"))
+
+
+def spans(narrow: DataFrame, length: int = LENGTH, hot_rows: int = HOT, sent: int = SENT) -> DataFrame:
+    """(doc_id, tag, lo, hi) from rows (doc_id, text, tag): words lo to hi of the text repeat an earlier passage; 0 to 0 for
+    the text that holds a first one."""
     if not 2 * GRAM <= length < 128:
         raise ValueError(f"length must be from {2 * GRAM} to 127")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = narrow.mapInArrow(_anchors(length), "fp long, around long, doc_id long, at long")
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    out_schema = f"doc_id {kind}, tag long, lo long, hi long"
+    tag = F.col("at").bitwiseAND(F.lit((1 << 20) - 1)).alias("tag")
+    itself = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))
+    zero = F.lit(0).cast("long")
+    holders = lambda df: df.filter(~itself).select("first.*").distinct().select("doc_id", tag, zero.alias("lo"), zero.alias("hi"))
+    found = written(narrow.mapInArrow(_anchors(length), f"fp long, around long, doc_id {kind}, at long"), "anchors")
+    hot = cut(found.groupBy("fp").count().filter(F.col("count") > hot_rows).select("fp"))
+    n_hot = hot.count()
+    parts = []
+    # passages of hot anchors, by the hash of all their words, in as many passes as keep each list of anchors short
+    for k in range(passes := -(-n_hot // sent)):
+        mine = hot.filter(F.pmod(F.xxhash64("fp"), F.lit(passes)) == k).toPandas()["fp"].to_numpy(np.int64)
+        same = narrow.mapInArrow(_windows(length, np.sort(mine)), f"fp long, key long, doc_id {kind}, at long")
+        first = cut(same.groupBy("fp", "key").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+        again = same.join(first.hint("merge"), ["fp", "key"])
+        start = F.shiftright("at", 20)
+        parts += [again.filter(~itself).select("doc_id", tag, start.alias("lo"), (start + length).alias("hi")), holders(again)]
+    if n_hot:
+        found = found.join(F.broadcast(hot) if n_hot <= sent else hot.hint("merge"), "fp", "left_anti")
     by, same = Window.partitionBy("fp"), Window.partitionBy("fp", "around")
     flagged = (
         found.withColumn("n", F.count(F.lit(1)).over(by))
@@ -272,17 +347,14 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .filter("n > 1")
         .withColumn("first", F.min(F.struct("doc_id", "at")).over(same))
     )
-    itself = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))
     pos, left, right = F.shiftright("at", 34), F.shiftright("at", 27).bitwiseAND(F.lit(127)), F.shiftright("at", 20).bitwiseAND(F.lit(127))
-    copies = flagged.filter(~itself & (left + right >= length)).select(
-        "doc_id", F.col("at").bitwiseAND(F.lit((1 << 20) - 1)).alias("tag"), (pos - left).alias("lo"), (pos + right).alias("hi")
-    )
-    tag = F.col("at").bitwiseAND(F.lit((1 << 20) - 1))
-    held = flagged.filter(~itself & (left + right >= length)).select("first.*").distinct().select("doc_id", tag.alias("tag"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
-    wanted = flagged.filter(itself & ~F.col("lone")).groupBy(F.col("doc_id").alias("w_id")).agg(F.collect_list(F.struct("fp", "at")).alias("wanted"))
-    segments = narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("doc_id", "text", "wanted").mapInArrow(_segments, "fp long, doc_id long, lo long, segment string")
-    sharded = segments.repartition("fp").sortWithinPartitions("fp").mapInArrow(_shard(length), "doc_id long, tag long, lo long, hi long")
-    return copies.unionByName(held).unionByName(sharded)
+    exact = flagged.filter(left + right >= length)
+    parts += [exact.filter(~itself).select("doc_id", tag, (pos - left).alias("lo"), (pos + right).alias("hi")), holders(exact)]
+    wanted = flagged.filter(itself & ~F.col("lone")).groupBy(F.col("doc_id").alias("w_id"), tag.alias("w_tag")).agg(F.collect_list(F.struct("fp", "at")).alias("wanted"))
+    texts = narrow.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("tag") == F.col("w_tag"))).select("doc_id", "text", "tag", "wanted")
+    segments = texts.mapInArrow(_segments, f"fp long, doc_id {kind}, lo long, segment string")
+    parts.append(segments.repartition("fp").sortWithinPartitions("fp").mapInArrow(_shard(length), out_schema))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,12 +362,11 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, kept, gone, shared = [], [], [], []
         todo = batch["spans"]
         for i, j, raw, offs in tv.chunks(batch["text"]):
-            a, _, h, bounds = tv.words(raw, offs)
-            tags = _tags(raw, offs, h, bounds)
+            a, _, _, bounds = tv.words(raw, offs)
             edge = np.append(a, len(raw))
             for r, mine in enumerate(todo.slice(i, j - i).to_pylist()):
                 w0, w1, e0, e1 = int(bounds[r]), int(bounds[r + 1]), int(offs[r]), int(offs[r + 1])
-                own = [s for s in mine or () if s["tag"] == tags[r] and s["hi"] <= w1 - w0]
+                own = [s for s in mine or () if s["hi"] <= w1 - w0]
                 cover = np.zeros(w1 - w0 + 1, np.int64)
                 for s in own:
                     cover[s["lo"]] += 1
@@ -316,12 +387,14 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(docs: DataFrame, length: int, how: str) -> DataFrame:
-    found = spans(docs, length).groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_set(F.struct("tag", "lo", "hi")).alias("spans"))
     cols = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(F.col(f"`{c}`").alias(n) for c, n in cols.items()))
-    both = plain.join(found, F.col("doc_id").eqNullSafe(F.col("_span_id")), how).drop("_span_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema) + ", _clean string, _kept long, _gone long, _shared boolean"
-    return both.mapInArrow(_clean, schema)
+    rest = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(n) for c, n in cols.items()))
+    text = F.col("text").cast("string")
+    rest = rest.withColumn("text", text).withColumn("tag", F.xxhash64(text).bitwiseAND(F.lit((1 << 20) - 1)))
+    found = spans(_narrow(docs), length).groupBy(F.col("doc_id").alias("_span_id"), F.col("tag").alias("_span_tag")).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    both = rest.join(found, F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.col("tag") == F.col("_span_tag")), how).drop("_span_id", "_span_tag")
+    more = T.StructType().add("_clean", "string").add("_kept", "long").add("_gone", "long").add("_shared", "boolean")
+    return both.mapInArrow(_clean, T.StructType(rest.schema.fields + more.fields))
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -331,7 +404,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n_removed (words; none are removed where all occurrences are first ones). A removed word takes the white space after
     it along. Texts that are null, empty or shorter than a passage have no row, nor has any for an empty table. Rows
     equal in doc_id and text count as one document and have equal results; rows of one doc_id and different texts are
-    documents of their own; a null doc_id sorts first. Other columns, of any name, play no part. Texts of any length are
+    documents of their own; a null doc_id sorts first, and ids are of any type that has an order. Other columns, of any name, play no part. Texts of any length are
     read whole.
     """
     out = _joined(docs.select("doc_id", "text"), length, "inner")
@@ -350,7 +423,7 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if c == "text":
             picked.append(text.alias(c))
         elif c == "doc_id":
-            picked.append(F.col("doc_id").cast(kind).alias(c))
+            picked.append(F.col("doc_id"))
         elif c == "n_chars":
             picked.append(F.when(F.col("_gone") > 0, F.length(text)).otherwise(F.col(cols[c])).cast(kind).alias(c))
         else:

@@ -66,6 +66,28 @@ def test_against_brute_force(spark):
     assert all(clean[d].split() == want[d] for d in want if want[d])
 
 
+def test_anchors_that_too_many_places_share(spark, monkeypatch):
+    """Their passages are found without gathering them, also where the anchors are too many for one list."""
+    import tessera.llm.suffix_dedup as m
+
+    docs = corpus(random.Random(9))
+    df = spark.createDataFrame([(d, t) for d, t in docs.items()], "doc_id long, text string").repartition(3)
+    for hot, sent in ((3, 1000), (1, 7)):
+        monkeypatch.setattr(m.spans, "__defaults__", (50, hot, sent))
+        assert {r.doc_id: r.text.split() for r in repeated_passages(df).collect()} == brute(docs, 50)
+
+
+def test_ids_of_text_and_columns_of_any_type(spark):
+    docs = corpus(random.Random(3))
+    schema = "doc_id string, text string, extra struct<`content-type`:string,`a b`:array<int>>, n_chars int"
+    df = spark.createDataFrame([(f"é{d:03}", t, (f"x{d}", [d]), len(t)) for d, t in docs.items()], schema).repartition(3)
+    want = {f"é{d:03}": x for d, x in brute(docs, 50).items()}
+    assert {r.doc_id: r.text.split() for r in repeated_passages(df).collect()} == want
+    kept = dedup_passages(df)
+    assert kept.schema == df.schema
+    assert all(r.extra == (f"x{int(r.doc_id[1:])}", [int(r.doc_id[1:])]) and r.text.split() == want.get(r.doc_id, docs[int(r.doc_id[1:])].split()) for r in kept.collect())
+
+
 def test_odd_rows(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     long = " ".join(f"v{i}" for i in range(60_000))
