@@ -1,10 +1,11 @@
 """Quality by co-training of two classifiers that see different sides of a document.
 
-The text view holds words and pairs of words, hashed to as many buckets as their number asks for. The metadata view holds what surrounds the words: language, source,
-size, and the layout of the page (length of lines and shares of capitals, digits and marks), each in a few classes. Both
-are naive Bayes models over hashed features, counted over all labelled documents but a fifth that calibrates. In each of
-``ROUNDS`` rounds every document of which one view is confident adds its features, under that label, to the other view's
-counts. Platt scaling calibrates the views; their log odds are added, less the prior's. A document is kept from the
+The text view holds words and pairs of words, hashed to as many buckets as their number asks for. The metadata view holds
+what a page says of itself, language, source and size, and how it is laid out, number and length of its lines, each in a
+few classes, and nothing of its words. Both are naive Bayes models over hashed features, counted over all
+labelled documents but a fifth that calibrates. In each of ``ROUNDS`` rounds every document without a label of which one
+view is confident adds its features, under that label, to the other view's counts; documents held out never do. Platt
+scaling calibrates the views; their log odds are added, less the prior's. A document is kept from the
 probability on that all but ``REJECT`` of the good ones held out reach, and from 0.5 at most. Toxic documents are the
 reject class too; the weights of their words (``toxicity``) are taken from the log odds.
 """
@@ -21,39 +22,18 @@ from tessera.sources.tables import cut
 
 ROUNDS, CONFIDENT, PRIOR, REJECT = 2, 0.95, 20.0, 0.01
 _META = 1 << 12
-_KIND = np.zeros(256, np.int64)
-_KIND[[*range(65, 91)]] = 1
-_KIND[[*range(97, 123), *range(128, 256)]] = 2
-_KIND[[*range(48, 58)]] = 3
-_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
-_KIND[10] = 5
 
 
 def _classes(x: np.ndarray, per_doubling: int = 2) -> np.ndarray:
     return np.floor(per_doubling * np.log2(x + 1)).astype(np.int64)
 
 
-def metadata(raw: np.ndarray, offs: np.ndarray, lang: np.ndarray, source: np.ndarray) -> np.ndarray:
-    """(texts, 8) buckets of metadata features."""
-    n = len(offs) - 1
-    counts = np.zeros((6, n), np.int64)
-    kind = _KIND[raw]
-    for k in range(1, 6):
-        total = np.append(0, np.cumsum(kind == k))
-        counts[k] = total[offs[1:]] - total[offs[:-1]]
-    size = np.diff(offs)
-    letters = counts[1] + counts[2]
-    whole = np.maximum(size, 1)
-    columns = [
-        lang,
-        source,
-        _classes(size),
-        _classes(size / (counts[5] + 1)),
-        _classes(200 * counts[4] / whole),
-        _classes(50 * counts[1] / np.maximum(letters, 1)),
-        _classes(200 * counts[3] / whole),
-        _classes(200 * (size - letters - counts[3] - counts[4] - counts[5]) / whole),
-    ]
+def metadata(raw: np.ndarray, offs: np.ndarray, lang: np.ndarray, source: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(texts, 5) buckets of metadata features: what the page says of itself, and how it is laid out; no words."""
+    lines = np.append(0, np.cumsum(raw == 10))
+    lines = lines[offs[1:]] - lines[offs[:-1]] + 1
+    length = np.diff(offs)
+    columns = [lang, source, np.where(size < 0, -1, _classes(np.maximum(size, 0))), _classes(lines), _classes(length / lines)]
     return np.stack([(tv.key_hash(c, 100 + k) >> np.uint64(52)).astype(np.int64) for k, c in enumerate(columns)], axis=1)
 
 
@@ -81,10 +61,10 @@ class Views:
 
     def scores(self, batch: pa.RecordBatch, each=None) -> tuple[np.ndarray, np.ndarray]:
         text, meta = [], []
-        lang, source = (batch[c].to_numpy(zero_copy_only=False) for c in ("lang_key", "source_key"))
+        lang, source, size = (batch[c].to_numpy(zero_copy_only=False) for c in ("lang_key", "source_key", "size"))
         for i, j, raw, offs in tv.chunks(batch["text"]):
             own, b = hashed.buckets(raw, offs, self.bits)
-            m = metadata(raw, offs, lang[i:j], source[i:j])
+            m = metadata(raw, offs, lang[i:j], source[i:j], size[i:j])
             if self.weights is None:
                 each(own, b, m)
                 continue
@@ -189,21 +169,25 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident:
     """(doc_id, p_text, p_meta, p_quality, keep) of every document; keep is p_quality >= threshold, without more toxic words
     than good documents held out have.
 
-    A toxic label rejects whatever the quality. Labels other than 0 and 1, null ones and those of no document count for nothing; of several labels of one document
-    the least counts. Where one class lacks labels, scores stay uncalibrated. A null, empty or white text has null
+    A toxic label rejects whatever the quality. Labels other than 0 and 1, null ones and those of no document count for
+    nothing; of several labels of one document the least counts. Documents of equal score have equal results, whatever
+    their number. Ids are numbers or text; where only one table has numbers, they are compared as text. Where one class lacks labels, scores stay uncalibrated. A null, empty or white text has null
     probabilities and isn't kept; a null lang, source or n_chars is a class of its own. Repeated rows count as often as
     they occur and have equal results; other columns play no part. Texts are read whole, labels are all used.
     """
-    key = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x00")))
-    have = set(docs.columns)
-    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(key(c).alias(f"{c}_key") if c in have else F.lit(0).cast("long").alias(f"{c}_key") for c in ("lang", "source")))
+    hashed_ = lambda c: F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\x00")))
+    have, (key, label_key) = set(docs.columns), hashed.keys(docs, labels)
+    size = F.coalesce(F.col("n_chars").cast("long"), F.lit(-1)) if "n_chars" in have else F.lit(-1)
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(hashed_(c).alias(f"{c}_key") if c in have else F.lit(0).cast("long").alias(f"{c}_key") for c in ("lang", "source")), size.cast("long").alias("size"), key.alias("key"))
     reject = F.when(F.col("toxic") == 1, 0).when(F.col("quality").isin(0, 1), F.col("quality").cast("int"))
-    marks = labels.groupBy(F.col("doc_id").alias("label_id")).agg(F.min(reject).alias("label"), F.max(F.when(F.col("toxic").isin(0, 1), F.col("toxic"))).alias("toxic"))
-    known = hashed.labelled(plain, marks.filter("label IS NOT NULL OR toxic IS NOT NULL"))
-    train = known.filter(~hashed.holdout(F.col("doc_id")))
-    held = known.filter(hashed.holdout(F.col("doc_id")) & F.col("label").isNotNull())
+    marks = labels.groupBy(label_key.alias("label_id")).agg(F.min(reject).alias("label"), F.max(F.when(F.col("toxic").isin(0, 1), F.col("toxic"))).alias("toxic"))
+    marks = marks.filter("label IS NOT NULL OR toxic IS NOT NULL")
+    known = hashed.labelled(plain, marks)
+    train = known.filter(~hashed.holdout(F.col("key")))
+    held = known.filter(hashed.holdout(F.col("key")) & F.col("label").isNotNull())
+    fresh = hashed.unlabelled(plain, marks)
     words = toxicity.lexicon(train)
-    train = train.filter("label IS NOT NULL").select("text", "lang_key", "source_key", "label")
+    train = train.filter("label IS NOT NULL").select("text", "lang_key", "source_key", "size", "label")
     bits = hashed.bits(plain)
     base = hashed.summed(train.mapInArrow(_count_labelled(bits), hashed.COUNTS), 2)
     views, kind = Views(bits, base), docs.schema["doc_id"].dataType.simpleString()
@@ -211,7 +195,7 @@ def scored(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, confident:
     for r in range(rounds + 1):
         prior = _calibrate(views, held.mapInArrow(_score(views, words), schema + ", label int"))
         if r < rounds:
-            more = plain.mapInArrow(_count_confident(views, confident), hashed.COUNTS)
+            more = fresh.mapInArrow(_count_confident(views, confident), hashed.COUNTS)
             views = Views(bits, hashed.summed(base.unionByName(more), 2))
     odds = [F.col(f"{v}_score") * views.platt[v][0] + views.platt[v][1] for v in ("text", "meta")]
     p = lambda x: F.round(1 / (1 + F.exp(-x)), 6)

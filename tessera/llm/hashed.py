@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.llm import textvec as tv
 from tessera.sources.tables import cut
@@ -60,15 +60,29 @@ def bits(docs: DataFrame) -> int:
 SENT_LABELS = 2_000_000
 
 
+def keys(docs: DataFrame, labels: DataFrame, name: str = "doc_id") -> tuple[Column, Column]:
+    """The ids of both tables as what they can be compared by: numbers where both hold whole numbers, else text."""
+    whole = all(isinstance(df.schema[name].dataType, T.IntegralType) for df in (docs, labels))
+    return F.col(name).cast("long" if whole else "string"), F.col(name).cast("long" if whole else "string")
+
+
+def _sent(marks: DataFrame) -> DataFrame:
+    return F.broadcast(marks) if marks.count() <= SENT_LABELS else marks.hint("merge")
+
+
 def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows of docs with the marks of their doc_id, which marks call label_id; kept in the checkpoint folder."""
-    marks = F.broadcast(marks) if marks.count() <= SENT_LABELS else marks.hint("merge")
-    return cut(docs.join(marks, F.col("doc_id") == F.col("label_id")))
+    """Rows of docs with the marks of their key, which marks call label_id; kept in the checkpoint folder."""
+    return cut(docs.join(_sent(marks), F.col("key") == F.col("label_id")))
+
+
+def unlabelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of docs whose key has no marks."""
+    return docs.join(_sent(marks.select("label_id")), F.col("key") == F.col("label_id"), "left_anti")
 
 
-def holdout(doc_id: Column, parts: int = 5) -> Column:
-    """True for one of so many parts of the documents, by a hash of doc_id."""
-    return F.pmod(F.xxhash64(doc_id, F.lit("holdout")), F.lit(parts)) == 0
+def holdout(key: Column, parts: int = 5) -> Column:
+    """True for one of so many parts of the documents, by a hash of their key."""
+    return F.pmod(F.xxhash64(key, F.lit("holdout")), F.lit(parts)) == 0
 
 
 def _least(x: np.ndarray) -> np.ndarray:

@@ -97,3 +97,14 @@ def test_buckets_grow_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(hashed, "BUCKETS", 1 << 17)
     for (d, _), (s, keep) in brute(docs[:], [(d, d % 2, 0) for d in range(60)], held_of(spark, range(60))).items():
         assert abs(got[d][0] - s) < 1e-8 and got[d][1] == keep
+
+
+def test_ids_of_text_and_columns_of_any_type(spark):
+    docs = [(f"d{i}", " ".join(f"w{(i * k) % 23}" for k in range(40)), (f"x{i}",)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id string, text string, extra struct<`content-type`:string>")
+    lab = spark.createDataFrame([(f"d{i}", int(i % 3 > 0), 0) for i in range(40)], "doc_id string, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in scored(df, lab).collect()}
+    kept = filtered(df, lab)
+    assert kept.schema == df.schema and len(got) == 60
+    assert {r.doc_id: r.extra[0] for r in kept.collect()} == {d: f"x{d[1:]}" for d, k in got.items() if k}
+    assert scored(df, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == 60
