@@ -62,10 +62,12 @@ def test_every_pair_of_a_bucket_counts(spark, monkeypatch):
     import tessera.llm.minhash_dedup as m
 
     monkeypatch.setattr(m, "BANDS", m.SLOTS)
+    monkeypatch.setattr(m, "PARTNERS", 3)
+    monkeypatch.setattr(m, "SENT_IDS", 10)
     docs = corpus(random.Random(12))
     sets = both(list(docs.values()), 3)[3]
     df = spark.createDataFrame([(d, t) for d, t in docs.items()], "doc_id long, text string").repartition(3)
-    bands: pd.DataFrame = df.mapInArrow(m._bands(m.SLOTS, m.BANDS), "band long, doc_id long").toPandas()
+    bands: pd.DataFrame = df.mapInArrow(m._signed(m.SLOTS, m.BANDS), "doc_id long, k1 long, k2 long, size long, bands array<long>").selectExpr("explode(bands) AS band", "doc_id").toPandas()
     pairs = {(b, a) for _, x in bands.groupby("band")["doc_id"] for a in x for b in x if b < a}
     of = {d: d for d in docs}
     for a, b in sorted(p for p in pairs if overlap(sets[p[0]], sets[p[1]]) >= SIMILAR):
@@ -75,6 +77,19 @@ def test_every_pair_of_a_bucket_counts(spark, monkeypatch):
     assert {r.doc_id: r.group_id for r in m.near_groups(df).collect()} == {d: c for d, c in of.items() if sizes[c] > 1}
 
 
+def test_ids_of_text_and_rows_equal_in_id_and_text(spark):
+    docs = corpus(random.Random(3))
+    want = {r.doc_id: r.group_id for r in near_groups(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    schema = "doc_id string, text string, extra struct<`content-type`:string>, n int"
+    rows = [(f"{d:04}", t, (f"x{d}",), n) for d, t in docs.items() for n in ((2, 1) if d % 7 == 0 else (5,))]
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    assert {int(r.doc_id): int(r.group_id) for r in near_groups(df).collect()} == want
+    for parts in (1, 5):
+        kept = dedup_near(df.repartition(parts))
+        assert kept.schema == df.schema
+        assert {(int(r.doc_id), r.n) for r in kept.collect()} == {(d, 1 if d % 7 == 0 else 5) for d in docs if want.get(d, d) == d}
+
+
 def test_odd_rows(spark):
     long = " ".join(f"v{i % 7000}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "one"), (5, "one"), (6, "one two"), (None, "one"), (7, long), (8, long + " x"), (9, "la " * 3000), (10, "la " * 2000), (11, "la " * 900)]
