@@ -5,7 +5,7 @@ have hash-random keys; a source's order is that of its keys. Where the budget ex
 taken as often as it holds them whole; from the last, partial epoch the documents up to the budget are taken. To find the
 place, keys are split into ranges of some ``RANGE_ROWS`` documents, whose token sums are added up in order; the range in
 which the budget ends, one a source, is sorted and summed document by document. Decisions are then a key a source, so
-texts aren't moved.
+texts aren't moved; only where a source repeats more than ``spread.BLOCK`` times are its copies shuffled by blocks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.spread import repeated
 from tessera.sources.tables import cut
 
 RANGE_ROWS, SEED = 50_000, "mix"
@@ -83,8 +84,8 @@ def _copies(docs: DataFrame, weights: dict[str, float] | None, total: int | None
     df = _with(df, by, many).withColumn("_key", _key(F.col("_full"), F.col("_id"))).withColumn("_range", _range())
     inside = (F.col("_range") < F.col("_end")) | ((F.col("_range") == F.col("_end")) & (F.struct("_key", "_id", "_n") <= F.col("_last")))
     last = F.when((F.col("_rest") > 0) & F.coalesce(inside, F.lit(False)), 0).otherwise(-1)
-    df = df.withColumn("_until", F.col("_full") + last).filter("_until >= 0")
-    return df.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_until").cast("long"))))
+    most = by.agg(F.coalesce(F.max("_full"), F.lit(0))).head()[0]
+    return repeated(df, F.col("_full") + last + 1, int(most) + 1, "_epoch")
 
 
 def sampled(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None) -> DataFrame:

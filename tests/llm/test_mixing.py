@@ -40,3 +40,14 @@ def test_against_brute_force(spark, monkeypatch):
     out = m.mixed(df)
     assert out.columns == df.columns and out.count() == len(brute(rows))
     assert m.sampled(df.limit(0)).count() == 0 and m.mixed(df.limit(0)).count() == 0
+
+
+def test_many_epochs_of_a_small_source(spark, monkeypatch):
+    """A budget of a thousand times what a source holds, made in blocks."""
+    import tessera.llm.spread as spread
+
+    monkeypatch.setattr(spread, "BLOCK", 300)
+    df = spark.createDataFrame([(1, "a b", "s"), (2, "c", "s"), (3, "d", "t")], "doc_id long, text string, source string")
+    rows = m.sampled(df, {"s": 1, "t": 1}, 6000).collect()
+    assert sorted((r.doc_id, r.epoch) for r in rows) == sorted([(d, e) for d in (1, 2) for e in range(1000)] + [(3, e) for e in range(3000)])
+    assert m.mixed(df, {"t": 1}, 2_000_000).groupBy("doc_id").count().collect()[0]["count"] == 2_000_000
