@@ -1,7 +1,8 @@
 """Sampled segmentations of texts into SentencePiece pieces, and back.
 
 The lattice of a text holds every way to tile it with pieces of a public vocabulary (spaces are part of pieces; a
-character without a piece of its own becomes its bytes). Vocabularies of merged pairs store merge ranks, not
+character without a piece of its own becomes its bytes; a piece with a space after another character, or with a new line,
+would be left out). Texts are taken as they are, without normalisation, so that pieces spell them exactly. Vocabularies of merged pairs store merge ranks, not
 probabilities, so a piece's weight is that of Zipf's law for its rank; the probability of a segmentation is the product
 of its pieces' weights over the sum for all segmentations, by a backward pass over the lattice. ``SAMPLES`` distinct
 segmentations a text are drawn without replacement by the Gumbel top-k principle: a best-first search pops the node of
@@ -45,7 +46,7 @@ class Vocabulary:
             else:
                 piece = sp.id_to_piece(i)
                 self.pieces.append(piece.replace("▁", " ").encode())
-                if "▁" not in piece[1:]:
+                if "▁" not in piece.lstrip("▁") and "\n" not in piece:
                     self.logs[i] = -np.log(max(0.0, -sp.get_score(i)) + 10.0)
         self.bytes_at = sp.piece_to_id("<0x00>")
         self.normal = [i for i, x in enumerate(self.logs) if np.isfinite(x)]
@@ -53,6 +54,16 @@ class Vocabulary:
         total = np.log(np.exp(self.logs[self.normal]).sum() + 256 * np.exp(low))
         self.logs -= total
         self.byte_log = float(low - total)
+        self.flat = np.frombuffer(b"".join(p or b"" for p in self.pieces), np.uint8)
+        self.lens = np.array([len(p or b"") for p in self.pieces])
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def spelt(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of some pieces, put together."""
+        lens = self.lens[ids]
+        at = np.repeat(self.starts[ids] - (np.cumsum(lens) - lens), lens)
+        at += np.arange(len(at))
+        return self.flat[at]
 
 
 class Trie:
@@ -216,8 +227,8 @@ def _gumbels(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
 class _Search:
     """The search of one text: complete segmentations so far, and the nodes left behind."""
 
-    def __init__(self, lattice: Lattice, key: int):
-        self.l, self.key = lattice, key
+    def __init__(self, lattice: Lattice, key: int, pops: int):
+        self.l, self.key, self.pops = lattice, key, pops
         self.paths: list[tuple[np.ndarray, float, float]] = []
         self.open: list[list] = []
 
@@ -226,20 +237,22 @@ class _Search:
         cond = self.l.cond[path]
         n = len(self.paths)
         self.paths.append((path, float(cond.sum()), top))
-        best, before, i = -np.inf, float(cond[:branch].sum()), branch
+        top_few, before, i = np.zeros(0), float(cond[:branch].sum()), branch
         if taken:
             self._leave(n, i, before, top, [*taken, int(path[i])])
             before += float(cond[i])
             i += 1
         while i < len(path):
+            if len(top_few) == self.pops and before + _TOP < top_few[0]:
+                break  # no later node will ever be popped: the nodes' masses fall, and a uniform has finitely many values
             j = min(len(path), i + 1024)
-            upto = before + np.append(0.0, np.cumsum(cond[i:j]))
-            if upto[0] + _TOP < best:
-                break  # no later node can be greater: the nodes' masses fall, and a uniform has finitely many values
-            edge = path[i:j]
-            g = _gumbels(upto[:-1] + self.l.rest[edge], top, self._uniform(n, np.arange(i, j)))
+            upto = np.empty(j - i + 1)
+            upto[0] = before
+            np.cumsum(cond[i:j], out=upto[1:])
+            upto[1:] += before
+            g = _gumbels(upto[:-1] + self.l.rest[path[i:j]], top, self._uniform(n, np.arange(i, j)))
             self.open.append([g, n, i])
-            best = max(best, float(g.max()))
+            top_few = np.sort(np.concatenate([top_few, g if len(g) <= self.pops else np.partition(g, -self.pops)[-self.pops :]]))[-self.pops :]
             before, i = float(upto[-1]), j
 
     def _uniform(self, path: int, step: np.ndarray) -> np.ndarray:
@@ -285,6 +298,7 @@ def sample(trie: Trie, bytes_at: int, raw: np.ndarray, offs: np.ndarray, keys: n
     texts = len(offs) - 1
     split = raw == 10
     begin = (raw == 32) | split
+    begin[1:] &= ~((raw[1:] == 32) & (raw[:-1] == 32))
     begin[1:] |= split[:-1]
     begin[offs[:-1][np.diff(offs) > 0]] = True
     starts = np.flatnonzero(begin)
@@ -320,7 +334,7 @@ def sample(trie: Trie, bytes_at: int, raw: np.ndarray, offs: np.ndarray, keys: n
             out[at[bare[more]] + k] = own_bytes[place[more] + k].astype(np.int64) + bytes_at
         return out
 
-    searches = [_Search(lattice, int(k)) for k in keys]
+    searches = [_Search(lattice, int(k), samples + 1) for k in keys]
     todo: list[tuple | None] = []
     for s in searches:
         g = -float(np.log(-np.log(s._uniform(-1, np.array([0]))[0])))
@@ -378,7 +392,8 @@ def _sampler(vocabulary: Vocabulary, samples: int):
         for batch in batches:
             seeds = tv.key_hash(batch["_key"].to_numpy(zero_copy_only=False), SEED)
             for i, j, raw, offs in tv.chunks(batch["text"]):
-                row, nth, logs, values, inclusion, ids = [], [], [], [], [], []
+                row, nth, logs, values, inclusion, ids, same = [], [], [], [], [], [], []
+                spaced, edge = _spaced(raw, offs)
                 for d, (found, line) in enumerate(sample(trie, vocabulary.bytes_at, raw, offs, seeds[i:j], samples)):
                     for n, (pieces, lp, g) in enumerate(found):
                         row.append(i + d)
@@ -387,17 +402,19 @@ def _sampler(vocabulary: Vocabulary, samples: int):
                         values.append(g)
                         inclusion.append(_inclusion(lp, line) if line > -np.inf else 0.0)
                         ids.append(pieces)
+                        same.append(np.array_equal(vocabulary.spelt(pieces), spaced[edge[d] : edge[d + 1]]))
                 lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(nth, pa.int32()), pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(inclusion, pa.float64()), lists], ["doc_id", "sample", "log_prob", "perturbed", "log_inclusion", "pieces"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(nth, pa.int32()), pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(inclusion, pa.float64()), lists, pa.array(same, pa.bool_())], ["doc_id", "sample", "log_prob", "perturbed", "log_inclusion", "pieces", "decodes"])
 
     return run
 
 
 def sampled(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES) -> DataFrame:
-    """(doc_id, sample, log_prob, perturbed, log_inclusion, pieces): up to ``samples`` distinct segmentations a row.
+    """(doc_id, sample, log_prob, perturbed, log_inclusion, pieces, decodes): up to ``samples`` distinct segmentations a row.
 
     sample counts from 0 in falling order of perturbed, the Gumbel-perturbed log probability. log_inclusion is the log
-    of the probability to be drawn, for weighting. A text with fewer segmentations has them all, with log_inclusion 0. A
+    of the probability to be drawn, for weighting. decodes is true where the pieces, decoded again, spell the text byte for
+    byte, null counting as empty. Equal perturbed values, which would take equal hashes, are ordered by place. A text with fewer segmentations has them all, with log_inclusion 0. A
     null or empty text has one segmentation, without pieces. Equal doc_ids and texts, repeated rows too, have equal
     results wherever they are; a null doc_id is a key of its own. Texts are whole, of any length, and other columns play
     no part.
@@ -405,7 +422,7 @@ def sampled(docs: DataFrame, model: str = MODEL, samples: int = SAMPLES) -> Data
     vocabulary = Vocabulary(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     mine = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("doc_id").alias("_key"))
-    return mine.mapInArrow(_sampler(vocabulary, samples), f"doc_id {kind}, sample int, log_prob double, perturbed double, log_inclusion double, pieces array<int>")
+    return mine.mapInArrow(_sampler(vocabulary, samples), f"doc_id {kind}, sample int, log_prob double, perturbed double, log_inclusion double, pieces array<int>, decodes boolean")
 
 
 def decoded(rows: DataFrame, model: str = MODEL, column: str = "pieces") -> DataFrame:

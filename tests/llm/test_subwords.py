@@ -36,7 +36,7 @@ def segmentations(text):
 
 
 def test_samples_follow_the_lattice():
-    texts, trie, runs = ["ab", "the é☃", " \nx", "", "ing", "zq"], Trie.of(V), 1200
+    texts, trie, runs = ["ab", "the é☃", " \nx", "", "ing", "zq", "a    b"], Trie.of(V), 1200
     every = [segmentations(t) for t in texts]
     first, weight = [Counter() for _ in texts], [Counter() for _ in texts]
     (_, _, raw, offs), = tv.chunks(pa.array(texts))
@@ -64,12 +64,13 @@ def test_round_trip_and_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " "), (4, "a"), (4, "a"), (None, "hello world"), (5, "hello ▁ world \n"), (6, "x" * 5000), (7, long)]
     df = spark.createDataFrame([(*r, [1], "q") for r in rows], "doc_id long, text string, pieces array<int>, sample string").repartition(3)
     got = sampled(df)
-    assert got.columns == ["doc_id", "sample", "log_prob", "perturbed", "log_inclusion", "pieces"]
+    assert got.columns == ["doc_id", "sample", "log_prob", "perturbed", "log_inclusion", "pieces", "decodes"]
+    assert all(r.decodes for r in got.collect())
     back = decoded(got).collect()
     want = {r[0]: r[1] or "" for r in rows}
     assert all(r.text == want[r.doc_id] for r in back)
     n = Counter(r.doc_id for r in back)
-    assert n == {1: 1, 2: 1, 3: 1, 4: 4, None: 2, 5: 2, 6: 2, 7: 2}
+    assert n == {1: 1, 2: 1, 3: 2, 4: 4, None: 2, 5: 2, 6: 2, 7: 2}
     assert len({(r.sample, tuple(r.pieces)) for r in back if r.doc_id == 4}) == 2
     assert all(r.log_inclusion == 0 for r in back if r.doc_id in (1, 2, 3))
     assert sampled(df.limit(0)).count() == 0
