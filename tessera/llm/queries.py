@@ -11,44 +11,54 @@ from tessera.sources.tables import table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with passages of 50 words that repeat; nulls, ties and odd rows as in suffix_dedup.repeated_passages."""
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities and decision; nulls, ties and odd rows as in cotraining.scored."""
     return cotraining.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every time that a document is taken; nulls, ties and odd rows as in mixing.sampled."""
     return mixing.sampled(table(spark, sf_dir, "documents"))
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the log that warc.capture_log makes of pages, headers as lines; odd rows as in warc.resolved_revisits."""
     found = warc.resolved_revisits(warc.capture_log(table(spark, sf_dir, "pages")))
     lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
     return found.withColumn("headers", F.array_join(lines, "\n"))
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's rules and decision; nulls, ties and odd rows as in url_rules.judged."""
     return url_rules.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def op6_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector; nulls, ties and odd rows as in metric_search.nearest."""
     return metric_search.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with near copies and their groups; nulls, ties and odd rows as in minhash_dedup.near_groups."""
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; nulls, broken markup and odd rows as in html_cut.extracted."""
     return html_cut.extracted(table(spark, sf_dir, "pages"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document, decoded again; nulls, ties and odd rows as in subwords.sampled."""
     return subwords.sampled(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and decision; nulls, ties and odd rows as in quality_rules.scored."""
     return quality_rules.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -81,19 +91,17 @@ SELECT doc_id, source, CAST(n AS BIGINT) AS n_tokens,
 """
 
 _OP4 = """
-WITH u AS (SELECT page_id, html, regexp_replace(regexp_replace(trim(url), '#[\\s\\S]*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
-v AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^[^@]*@', ''), '^www[0-9]*\\.', ''), ':(80|443)$', '') AS host,
-  regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-  array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '\\?([\\s\\S]*)$', 1), '&'),
-    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&') AS query FROM u),
-c AS (SELECT page_id, html, md5(html) AS tag, 'day ' || (page_id // 7) AS day, page_id % 5 AS turn,
-  CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS curl FROM v),
-p AS (SELECT *, max(page_id) OVER (PARTITION BY curl ORDER BY page_id) AS r FROM c WHERE curl IS NOT NULL),
+WITH u AS (SELECT page_id, html, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*/*[^/?#]*'), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+v AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/]*')), '^[^@]*@', ''), '^www[0-9]*\\.', ''), ':(80|443)$', '') AS host,
+  regexp_replace(regexp_extract(rest, '^[^/]*(.*)$', 1), '/+$', '') AS path FROM u),
+w AS (SELECT page_id, html, 'day ' || (page_id // 7) AS day, page_id % 5 AS turn, page_id % 3 AS kind, CASE WHEN host <> '' THEN host || path END AS curl FROM v),
+c AS (SELECT *, md5(curl || '|' || (page_id // 64)) AS tag FROM w),
+p AS (SELECT *, CASE WHEN curl IS NOT NULL THEN max(CASE WHEN kind <> 2 THEN page_id END) OVER (PARTITION BY curl ORDER BY page_id) END AS r FROM c),
 j AS (SELECT p.page_id, p.curl, p.r, o.html, o.tag AS o_tag, o.day AS o_day, p.turn,
   CASE WHEN p.turn IN (0, 1) THEN p.tag = o.tag WHEN p.turn = 2 THEN false WHEN p.turn = 3 THEN p.day = o.day END AS agree
-  FROM p JOIN c AS o ON o.page_id = p.r)
+  FROM p LEFT JOIN c AS o ON o.page_id = p.r WHERE p.kind <> 0)
 SELECT 2 * page_id + 1 AS revisit_id, 2 * r AS response_id, curl AS canonical_url,
-  CASE WHEN agree IS NULL THEN 'unvalidated' WHEN agree THEN 'resolved' ELSE 'mismatch' END AS status,
+  CASE WHEN r IS NULL THEN 'no_response' WHEN agree IS NULL THEN 'unvalidated' WHEN agree THEN 'resolved' ELSE 'mismatch' END AS status,
   CASE WHEN agree THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || length(html) || chr(10) || 'content-type: text/html' || chr(10)
     || 'date: ' || (2 * page_id + 1) || chr(10) || 'etag: ' || CASE WHEN turn = 1 THEN 'W/' ELSE '' END || '"' || o_tag || '"' || chr(10) || 'last-modified: ' || o_day END AS headers,
   CASE WHEN agree THEN html END AS payload FROM j

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessera.llm import warc
 from tessera.llm.warc import PERMITTED, canonical_url, resolved_revisits
 
 SCHEMA = "record_id long, url string, at long, type string, headers map<string,string>, payload string"
@@ -45,7 +46,11 @@ def brute(rows):
     return sorted(out)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize(("span_rows", "hot"), [(10**6, 10**6), (37, 2)])
+def test_against_brute_force(spark, monkeypatch, span_rows, hot):
+    """Also with time cut into spans, and with responses that are repeated."""
+    monkeypatch.setattr(warc, "SPAN_ROWS", span_rows)
+    monkeypatch.setattr(warc, "HOT_REVISITS", hot)
     rng, rows = random.Random(4), []
     for i in range(400):
         headers = {k: v for k, v in (("ETag", rng.choice(["x", "W/x", "y"])), ("Last-Modified", rng.choice("12")), ("Date", str(i)), ("Content-Length", str(i)), ("X-Own", "z")) if rng.random() < 0.6}
