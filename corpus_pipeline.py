@@ -15,22 +15,27 @@ from tessera.sources.tables import table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that op10 keeps: rejected ones go, others stay as they are. Nulls, empty texts and ties as in quality_rules.scored."""
     return quality_rules.filtered(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each of op7's groups; rows without id or words stay. Ties as in minhash_dedup.dedup_near."""
     return minhash_dedup.dedup_near(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages of 50 words removed from text (op1); a document of nothing else goes. Odd rows as in suffix_dedup.dedup_passages."""
     return suffix_dedup.dedup_passages(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as op3's budgets take them. Nulls, empty sources and ties as in mixing.sampled."""
     return mixing.mixed(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document, decoded again (op9). Odd rows as in subwords.sampled."""
     return subwords.sampled(docs)
 
 
