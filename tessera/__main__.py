@@ -14,7 +14,7 @@ from tessera.sources import code, numstat
 
 DEFAULT = {
     "languages": [dict(name="python", metrics=[dict(type=m, threshold=t, comparison=c, enabled=True) for m, t, c in gates.DEFAULTS])],
-    "ignore_patterns": "**/tests/** **/*_test.py **/test_*.py".split(), "use_gitignore": True, "profile": "standard",
+    "ignore_patterns": ["**/*_test.py", "**/test_*.py", "**/tests/**"], "use_gitignore": True, "profile": "standard",
 }
 
 

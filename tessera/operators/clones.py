@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 
 def clone_groups(units: DataFrame, least: int = 2) -> DataFrame:
     """units (group_hash and other columns) of groups of at least so many, with the group's size n."""
-    return units.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("group_hash"))).filter(F.col("n") >= least)
+    groups = units.groupBy("group_hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return units.join(groups, "group_hash")
 
 
 def duplication(clones: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.sources.tables import cut
+
 #: Metrics whose function rows inform and aren't gated.
-UNGATED = tuple(f"halstead_{x}" for x in "bugs difficulty effort time volume".split())
+UNGATED = ("halstead_bugs", "halstead_difficulty", "halstead_effort", "halstead_time", "halstead_volume")
 #: Thresholds where a language has no block of its own: metric, threshold, comparison.
 DEFAULTS = (
     ("cyclomatic_complexity", 10.0, "<="), ("maintainability_index", 50.0, ">="), ("halstead_volume", 1000.0, "<="),
@@ -20,7 +22,10 @@ BOUNDS = {
     "cyclomatic_complexity": (1, 50), "maintainability_index": (0, 100), "halstead_volume": (0, 100_000),
     "halstead_difficulty": (0, 100), "halstead_effort": (0, 1_000_000), "cognitive_complexity": (1, 100),
 }
-_SHORT = {m[9:12] if m.startswith("halstead_") else m[:3]: m for m in BOUNDS}
+_SHORT = {
+    "cog": "cognitive_complexity", "cyc": "cyclomatic_complexity", "dif": "halstead_difficulty",
+    "eff": "halstead_effort", "mai": "maintainability_index", "vol": "halstead_volume",
+}
 SCHEMA = "language string, metric string, threshold double, comparison string, enabled boolean, ord int"
 
 
@@ -75,12 +80,18 @@ def message(path: Column, line: Column, function: Column, metric: Column, value:
 def summary(files: DataFrame, found: DataFrame, project: DataFrame | None = None) -> DataFrame:
     """One row of what a run comes to. files: path, language, one row each; found: violations of files; project: those of
     other subjects, which count among all violations but not among files."""
-    by_file = files.agg(F.count(F.lit(1)).alias("total_files"), F.count_if(F.col("path").isNotNull()).alias("_n"))
-    languages = files.groupBy("language").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "count")))).alias("files_by_language"))
-    every = found.select("metric") if project is None else found.select("metric").unionByName(project.select("metric"))
-    types = every.groupBy("metric").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_violations"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "count")))).alias("violations_by_type"))
-    hit = found.agg(F.count_distinct("path").alias("files_with_violations"))
-    out = by_file.drop("_n").crossJoin(hit).crossJoin(types).crossJoin(languages)
+    languages = files.groupBy("language").count().agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("total_files"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "count")))).alias("files_by_language")
+    )
+    # one pass over the violations, by metric and file; what is left is small
+    every = found.select("metric", "path", F.lit(True).alias("of_file"))
+    if project is not None:
+        every = every.unionByName(project.select("metric", "path", F.lit(False).alias("of_file")))
+    counted = cut(every.groupBy("metric", "path", "of_file").count())
+    hit = counted.agg(F.count_distinct(F.when(F.col("of_file"), F.col("path"))).alias("files_with_violations"))
+    types = counted.groupBy("metric").agg(F.sum("count").alias("count")).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total_violations"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "count")))).alias("violations_by_type"))
+    # each has one row
+    out = languages.crossJoin(hit).crossJoin(types).select("total_files", "files_with_violations", "total_violations", "violations_by_type", "files_by_language")
     return out.withColumn("success", F.col("total_violations") == 0)
 
 
@@ -92,11 +103,18 @@ def worst(functions: DataFrame, limit: int = 20) -> DataFrame:
     out = functions.withColumn("score", score).filter("score IS NOT NULL")
     if limit > 0:
         out = out.orderBy(*order).limit(limit)
-    # the window is global only over what a report shows
+        from pyspark.sql.window import Window
+
+        return out.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # of what a report shows
     return ranked(out, order)
 
 
 def ranked(rows: DataFrame, order: list) -> DataFrame:
+    """rows with their rank by order, equals in any order: sorted by ranges, each of which knows how many come before."""
     from pyspark.sql.window import Window
 
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    placed = cut(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    # a row a range, of which there are as many as tasks
+    return placed.join(F.broadcast(sizes.drop("count")), "_range").withColumn("rank", (nth + F.col("_before")).cast("int")).drop("_range", "_before")

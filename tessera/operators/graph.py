@@ -141,30 +141,25 @@ def cycles(components: DataFrame) -> DataFrame:
     return components.groupBy("component").agg(F.concat(F.lit("cycle: "), F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda x: x.cast("string")), " <-> ")).alias("subject"), F.count(F.lit(1)).alias("size")).select("subject", "size")
 
 
-def depths(bases: DataFrame, guard: int = 64) -> DataFrame:
+def depths(bases: DataFrame) -> DataFrame:
     """(node, depth, flagged) of each node of an inheritance table (node, base, known): 1 without bases, else one more
     than the deepest base. A base that isn't known counts as 1 and flags the node, as does one that is inherited from so;
-    a node that its own bases lead back to, or a deeper chain than guard, has depth 1 and a flag."""
-    nodes = cut(bases.select("node").distinct())
-    edges = cut(bases.filter("base IS NOT NULL").select("node", "base", "known").distinct())
-    start = nodes.select("node", F.lit(1).alias("depth"), F.lit(False).alias("flagged"), F.lit(False).alias("cyclic"))
-    outside = edges.filter("NOT known").select("node", F.lit(2).alias("depth"), F.lit(True).alias("flagged"), F.lit(False).alias("cyclic"))
-    up = edges.filter("known").select(F.col("node").alias("below"), F.col("base").alias("above"))
-    front = cut(up.select(F.col("below").alias("node"), F.col("above").alias("at")))
-    ends = [start, outside]
-    far = outside.select(F.col("node").alias("at"))
-    k = 1
-    while not front.isEmpty() and k <= guard:
-        ends.append(front.select("node", F.lit(k + 1).alias("depth"), F.lit(False).alias("flagged"), (F.col("node") == F.col("at")).alias("cyclic")))
-        ends.append(front.join(far, "at", "left_semi").select("node", F.lit(k + 2).alias("depth"), F.lit(True).alias("flagged"), F.lit(False).alias("cyclic")))
-        front = cut(front.filter("node <> at").join(up, front["at"] == up["below"]).select("node", F.col("above").alias("at")).distinct())
-        k += 1
-    ends.append(front.select("node", F.lit(1).alias("depth"), F.lit(True).alias("flagged"), F.lit(True).alias("cyclic")))
-    every = ends[0]
-    for x in ends[1:]:
-        every = every.unionByName(x)
-    out = every.groupBy("node").agg(F.max("depth").alias("depth"), F.max("flagged").alias("flagged"), F.max("cyclic").alias("cyclic"))
-    return out.select("node", F.when(F.col("cyclic"), 1).otherwise(F.col("depth")).alias("depth"), (F.col("flagged") | F.col("cyclic")).alias("flagged"))
+    a node on a cycle of bases has depth 1 and a flag. There are as many rounds as the longest chain has nodes."""
+    rows = cut(bases.select("node", "base", "known").distinct())
+    up = rows.filter("known AND base IS NOT NULL").select(F.col("node").alias("below"), F.col("base").alias("above"))
+    loops = strong_components(up, "below", "above").select("node").unionByName(up.filter("below = above").select(F.col("below").alias("node")))
+    loops = cut(loops.distinct().withColumn("cyclic", F.lit(True)))
+    outside = F.max(F.coalesce(~F.col("known") & F.col("base").isNotNull(), F.lit(False))).alias("outside")
+    now = rows.groupBy("node").agg(outside).join(loops, "node", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+    now = cut(now.select("node", F.when(F.col("outside") & ~F.col("cyclic"), 2).otherwise(1).alias("depth"), (F.col("outside") | F.col("cyclic")).alias("flagged")))
+    up = cut(up.join(loops.withColumnRenamed("node", "below"), "below", "left_anti").select("below", "above"))
+    front = now
+    while not front.isEmpty():
+        more = up.join(front, up["above"] == front["node"]).groupBy(F.col("below").alias("node")).agg((F.max("depth") + 1).alias("d"), F.max("flagged").alias("f"))
+        both = cut(now.join(more, "node", "left").select("node", "depth", "flagged", F.greatest("depth", "d").alias("d"), (F.col("flagged") | F.coalesce("f", F.lit(False))).alias("f")))
+        front = both.filter("d <> depth OR f <> flagged").select("node", F.col("d").alias("depth"), F.col("f").alias("flagged"))
+        now = both.select("node", F.col("d").alias("depth"), F.col("f").alias("flagged"))
+    return now
 
 
 def cohesion(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -201,35 +196,28 @@ def cohesion(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def greedy_cover(cells: DataFrame) -> DataFrame:
     """(test, step, gain): tests (test, item) in the order in which a greedy cover takes them, each the one of most items
-    not yet covered, the least name first. One task holds the distinct cells, as numbers."""
-    import pandas as pd
-
-    kind = cells.schema["test"].dataType.simpleString()
+    not yet covered, the least name first.
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        import numpy as np
-
-        tests, t = np.unique(rows["test"].to_numpy(), return_inverse=True)
-        _, i = np.unique(rows["item"].to_numpy(), return_inverse=True)
-        order = np.argsort(t, kind="stable")
-        items, edge = i[order], np.searchsorted(t[order], np.arange(len(tests) + 1))
-        free = np.ones(len(rows) + 1, bool)
-        heap = [(-(edge[k + 1] - edge[k]), k) for k in range(len(tests))]
-        heapq.heapify(heap)
-        out = []
-        while heap:
-            _, k = heapq.heappop(heap)
-            gain = int(free[items[edge[k] : edge[k + 1]]].sum())
-            if not gain:
-                continue
-            if heap and (-gain, k) > heap[0]:
-                heapq.heappush(heap, (-gain, k))
-                continue
-            free[items[edge[k] : edge[k + 1]]] = False
-            out.append((tests[k], len(out) + 1, gain))
-        return pd.DataFrame(out, columns=["test", "step", "gain"])
-
-    distinct = cells.select("test", "item").distinct().filter("test IS NOT NULL AND item IS NOT NULL")
-    return distinct.groupBy(F.lit("all")).applyInPandas(solve, f"test {kind}, step int, gain long")
+    A test that comes before all others with which it shares an uncovered item, by gain and then by name, is taken by the
+    greedy cover with the gain that it has now, whatever is taken before: gains only fall, and only by tests that share
+    items. So each round takes all such tests at once; their order is that of gain and name.
+    """
+    from tessera.operators.gates import ranked
+
+    left = cut(cells.select("test", "item").filter("test IS NOT NULL AND item IS NOT NULL").distinct())
+    kind, taken = left.schema["test"].dataType.simpleString(), []
+    while not left.isEmpty():
+        gains = left.groupBy("test").agg(F.count(F.lit(1)).alias("gain"))
+        of = cut(left.join(gains, "test"))
+        least = of.groupBy("item").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("test").alias("t")))["t"].alias("best"))
+        won = least.groupBy(F.col("best").alias("test")).agg(F.count(F.lit(1)).alias("wins"))
+        picked = cut(won.join(gains, "test").filter("wins = gain").select("test", "gain"))
+        taken.append(picked)
+        gone = cut(left.join(picked.select("test"), "test").select("item").distinct())
+        left = cut(left.join(gone, "item", "left_anti"))
+    if not taken:
+        return cells.sparkSession.createDataFrame([], f"test {kind}, step int, gain long")
+    every = taken[0]
+    for x in taken[1:]:
+        every = every.unionByName(x)
+    return ranked(every, [F.desc("gain"), F.asc("test")]).select("test", F.col("rank").alias("step"), "gain")

@@ -6,9 +6,9 @@ numstat: commit, seq, added long, deleted long, path. coverage: test, file, line
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.paths import is_test
+from tessera.sources.tables import cut
 
 SUPPORT = 3
 
@@ -30,9 +30,10 @@ def change_coupling(numstat: DataFrame, least: int = SUPPORT, key: str = "path")
     fewer than ``least`` commits can't be in a pair and are left out first."""
     touched = numstat.select("commit", F.col(key).alias("path")).filter("path IS NOT NULL").distinct()
     often = touched.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    live = touched.join(often, "path").select("commit", "path", "n")
+    # a table of its own, so that both sides are plain shuffles and the join can split a commit of many paths
+    live = cut(touched.join(often, "path").select("commit", "path", "n"))
     a, b = live.select("commit", F.col("path").alias("a"), F.col("n").alias("na")), live.select("commit", F.col("path").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "commit").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
+    pairs = a.hint("merge").join(b, "commit").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
     return pairs.select("a", "b", "support", (F.col("support") / F.least("na", "nb")).alias("confidence"))
 
 
@@ -53,8 +54,9 @@ def suite_health(numstat: DataFrame, test: Column | None = None) -> DataFrame:
 def unique_coverage(coverage: DataFrame) -> DataFrame:
     """(test, lines, unique_lines, ratio): lines that each test covers, and those that no other does."""
     cells = coverage.select("test", "file", "line").distinct()
-    alone = F.count(F.lit(1)).over(Window.partitionBy("file", "line")) == 1
-    return cells.withColumn("alone", alone).groupBy("test").agg(F.count(F.lit(1)).alias("lines"), F.count_if("alone").alias("unique_lines")).withColumn("ratio", F.col("unique_lines") / F.col("lines"))
+    alone = cells.groupBy("file", "line").agg(F.count(F.lit(1)).alias("n"), F.min("test").alias("test")).filter("n = 1").groupBy("test").agg(F.count(F.lit(1)).alias("unique_lines"))
+    lines = cells.groupBy("test").agg(F.count(F.lit(1)).alias("lines"))
+    return lines.join(alone, "test", "left").na.fill(0, ["unique_lines"]).withColumn("ratio", F.col("unique_lines") / F.col("lines"))
 
 
 def blast_radius(coverage: DataFrame) -> DataFrame:

@@ -15,9 +15,14 @@ LOWER_IS_WORSE = ("maintainability_index",)
 
 def changed_keys(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """keys and status (added, removed or common) of the keys of either side."""
-    a, b = old.select(*keys).distinct().withColumn("_old", F.lit(True)), new.select(*keys).distinct().withColumn("_new", F.lit(True))
-    both = a.join(b, list(keys), "full_outer")
-    return both.select(*keys, F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").otherwise("common").alias("status"))
+    status = F.when(~F.col("_old"), "added").when(~F.col("_new"), "removed").otherwise("common")
+    return _sides(old, new, *keys).select(*keys, status.alias("status"))
+
+
+def _sides(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """keys, each once, with _old and _new: which sides have them; null keys are equal."""
+    both = old.select(*keys, F.lit(True).alias("_o")).unionByName(new.select(*keys, F.lit(False).alias("_o")))
+    return both.groupBy(*keys).agg(F.max("_o").alias("_old"), F.max(~F.col("_o")).alias("_new"))
 
 
 def regressed(metric: Column, delta: Column) -> Column:
@@ -34,8 +39,7 @@ def changed_values(old: DataFrame, new: DataFrame, *keys: str, epsilon: float =
 
 def changed_violations(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """keys and change (added or removed) of violations on one side alone; null keys are equal."""
-    a, b = old.select(*keys).distinct(), new.select(*keys).distinct()
-    return b.exceptAll(a).withColumn("change", F.lit("added")).unionByName(a.exceptAll(b).withColumn("change", F.lit("removed")))
+    return _sides(old, new, *keys).filter("NOT (_old AND _new)").select(*keys, F.when(F.col("_new"), "added").otherwise("removed").alias("change"))
 
 
 def regressions(scores: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.functions.paths import ancestors
 PREFIXES = {
     "loc": ("lines_of_code", "source_lines_of_code", "logical_lines_of_code", "blank_lines", "comment_lines"),
     "cyc": ("cyclomatic_complexity",), "cog": ("cognitive_complexity",), "mai": ("maintainability_index",),
-    "hal": tuple(f"halstead_{x}" for x in "bugs difficulty effort time volume".split()),
+    "hal": ("halstead_bugs", "halstead_difficulty", "halstead_effort", "halstead_time", "halstead_volume"),
 }
 
 

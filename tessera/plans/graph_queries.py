@@ -61,7 +61,7 @@ def q_import_edges(spark, sf_dir):
 
 @query(f"WITH {_SQL_E} SELECT module, efferent, afferent, round(instability, 6) AS instability FROM k")
 def q_coupling(spark, sf_dir):
-    return imports.coupling(suppliers(spark, sf_dir), edges(spark, sf_dir)).withColumn("instability", F.round("instability", 6))
+    return imports.coupling(suppliers(spark, sf_dir), cut(edges(spark, sf_dir))).withColumn("instability", F.round("instability", 6))
 
 
 @query(f"WITH {_SQL_E} SELECT k.module, count(CASE WHEN t.instability - k.instability > 0.2 THEN 1 END) AS violations FROM k LEFT JOIN e ON e.source = k.module LEFT JOIN k t ON t.module = e.target GROUP BY k.module")
@@ -74,7 +74,7 @@ def q_sdp(spark, sf_dir):
 SELECT module, (SELECT count(*) FROM q WHERE a = module) AS efferent, (SELECT count(*) FROM q WHERE b = module) AS afferent FROM m""")
 def q_package_rollup(spark, sf_dir):
     packages = suppliers(spark, sf_dir).select(F.concat_ws(".", "r", "n").alias("module")).distinct()
-    return imports.coupling(packages, imports.package_edges(edges(spark, sf_dir))).select("module", "efferent", "afferent")
+    return imports.coupling(packages, cut(imports.package_edges(edges(spark, sf_dir)))).select("module", "efferent", "afferent")
 
 
 @query(f"""WITH {_SQL_E}, c AS (SELECT 's' || c_nationkey AS key, avg(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS share FROM customer GROUP BY 1),
@@ -94,7 +94,7 @@ def q_main_sequence(spark, sf_dir):
 t AS (SELECT s.module, l.layer FROM s JOIN l ON l.r = s.r), u AS (SELECT e.source, e.target FROM e JOIN t a ON a.module = e.source JOIN t b ON b.module = e.target WHERE b.layer < a.layer)
 SELECT module, (SELECT count(*) FROM u WHERE source = module) AS violations, coalesce((SELECT array_to_string(list_sort(list(target))[:10], ',') FROM u WHERE source = module), '') AS targets FROM t""")
 def q_layering(spark, sf_dir):
-    return imports.layering(edges(spark, sf_dir), suppliers(spark, sf_dir), ["europe", "asia", "america"])
+    return imports.layering(cut(edges(spark, sf_dir)), suppliers(spark, sf_dir), ["europe", "asia", "america"])
 
 
 def jumps(spark, sf_dir) -> DataFrame:

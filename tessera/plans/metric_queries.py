@@ -158,19 +158,23 @@ def q_identifier_split(spark, sf_dir):
     return part_names(spark, sf_dir).select("p_partkey", "name", F.array_join(nm.words(F.col("name")), " ").alias("words"))
 
 
-_SQL_SETS = {n: "(" + ", ".join(f"'{w}'" for w in sorted(s)) + ")" for n, s in (("accepted", nm.ACCEPTED), ("noise", nm.NOISE), ("actions", nm.ACTIONS))}
+#: Roles of words in the clarity query, besides the words of p_type, which are plain ones.
+_ROLES = [("build", nm.ACTION), ("get", nm.ACTION), ("is", nm.ACTION), ("is", nm.WORD), ("get", nm.WORD), ("tmp", nm.NOISE), ("anodized", nm.NOISE)]
+_SQL_SETS = {role: "(" + ", ".join(f"'{w}'" for w, r in _ROLES if r == role) + ")" for role in (nm.WORD, nm.NOISE, nm.ACTION)}
 
 
 @query(f"""WITH {_SQL_NAMES}, v AS (SELECT DISTINCT lower(unnest(regexp_extract_all(p_type, '[A-Za-z]+'))) AS word FROM part),
 d AS (SELECT DISTINCT name, words FROM w), e AS (SELECT name, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
 s AS (SELECT word, unnest([word, CASE WHEN word LIKE '%ies' THEN left(word, -3) || 'y' END, CASE WHEN word LIKE '%es' THEN left(word, -2) END, CASE WHEN word LIKE '%s' THEN left(word, -1) END,
  CASE WHEN word LIKE '%ed' THEN left(word, -2) END, CASE WHEN word LIKE '%ed' THEN left(word, -2) || 'e' END, CASE WHEN word LIKE '%ed' THEN left(word, -1) END, CASE WHEN word LIKE '%ing' THEN left(word, -3) END, CASE WHEN word LIKE '%ing' THEN left(word, -3) || 'e' END]) AS stem FROM (SELECT DISTINCT word FROM e)),
-h AS (SELECT word, bool_or(stem IN (SELECT word FROM v) OR stem IN {_SQL_SETS['accepted']}) AS hit FROM s WHERE stem IS NOT NULL GROUP BY word),
-c AS (SELECT name, avg(CASE WHEN hit THEN 1 ELSE 0 END) AS rate, avg(CASE WHEN e.word IN {_SQL_SETS['noise']} THEN 1 ELSE 0 END) AS noise, bool_or(i = 1 AND e.word IN {_SQL_SETS['actions']}) AS acts FROM e JOIN h ON h.word = e.word GROUP BY name)
+h AS (SELECT word, bool_or(stem IN (SELECT word FROM v) OR stem IN {_SQL_SETS[nm.WORD]}) AS hit FROM s WHERE stem IS NOT NULL GROUP BY word),
+c AS (SELECT name, avg(CASE WHEN hit THEN 1 ELSE 0 END) AS rate, avg(CASE WHEN e.word IN {_SQL_SETS[nm.NOISE]} THEN 1 ELSE 0 END) AS noise, bool_or(i = 1 AND e.word IN {_SQL_SETS[nm.ACTION]}) AS acts FROM e JOIN h ON h.word = e.word GROUP BY name)
 SELECT name, round(greatest(rate * CASE WHEN acts THEN 1.0 ELSE 0.7 END - noise, 0), 6) AS score FROM c""")
 def q_name_clarity(spark, sf_dir):
     words = table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all("p_type", F.lit("([A-Za-z]+)"))).alias("word"))
-    return nm.clarity(part_names(spark, sf_dir), words.select(F.lower("word").alias("word")).distinct()).select("name", F.round("score", 6).alias("score"))
+    roles = spark.createDataFrame(_ROLES, "word string, role string")
+    known = nm.vocabulary(words.select("word", F.lit(nm.WORD).alias("role")).unionByName(roles))
+    return nm.clarity(part_names(spark, sf_dir), known).select("name", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {_SQL_NAMES}, a AS (SELECT *, CASE WHEN p_size > 20 THEN 'str' WHEN p_size > 17 THEN 'bool' END AS annotation, p_size > 7 AS returns FROM w)
@@ -185,8 +189,15 @@ def q_antipatterns(spark, sf_dir):
 SELECT doc_id, CAST(lines AS INTEGER) AS total_lines, CAST(marks AS INTEGER) AS marks, round(CASE WHEN lines = 0 THEN 0 ELSE 1000.0 * marks / lines END, 6) AS density FROM d""")
 def q_marker_density(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    lines, marks = total_lines(F.col("text")), F.regexp_count(F.lower("text"), F.lit(r"(?:^|[^a-z0-9_])(the|der|los|les)(?:$|[^a-z0-9_])"))
-    return d.select("doc_id", lines.alias("total_lines"), marks.alias("marks"), F.round(F.when(lines == 0, 0.0).otherwise(1000.0 * marks / lines), 6).alias("density"))
+    marks = F.regexp_count(F.lower("text"), F.lit(r"(?:^|[^a-z0-9_])(the|der|los|les)(?:$|[^a-z0-9_])"))
+    # generated columns, so that the count of marks isn't put in place of each use of it
+    counted = d.select("doc_id", total_lines(F.col("text")).alias("total_lines"), marks.alias("marks"))
+    return counted.select("doc_id", F.inline(F.array(F.struct("total_lines", "marks")))).withColumn("density", F.round(density(F.col("marks"), F.col("total_lines")), 6))
+
+
+def density(marks, lines, per: float = 1000.0):
+    """Marks per so many lines; 0 without lines."""
+    return F.when(lines == 0, 0.0).otherwise(per * marks / lines)
 
 
 def total_lines(text):

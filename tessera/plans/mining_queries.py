@@ -68,7 +68,11 @@ def q_blast_radius(spark, sf_dir):
     return history.blast_radius(c).orderBy(F.desc("tests"), "file").limit(15)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT l_suppkey AS test, l_partkey AS item FROM lineitem),
+r AS (SELECT 0 AS step, test AS pick, CAST(0 AS BIGINT) AS gain, test, item, false AS covered FROM c UNION ALL
+ SELECT r.step + 1, b.pick, b.gain, r.test, r.item, r.covered OR r.item IN (SELECT x.item FROM r x JOIN (SELECT test AS pick, count(*) AS gain FROM r WHERE NOT covered GROUP BY test ORDER BY gain DESC, test LIMIT 1) y ON x.test = y.pick)
+ FROM r, (SELECT test AS pick, count(*) AS gain FROM r WHERE NOT covered GROUP BY test ORDER BY gain DESC, test LIMIT 1) b)
+SELECT DISTINCT pick AS test, step, gain FROM r WHERE step > 0""")
 def q_set_cover(spark, sf_dir):
     c = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("test"), F.col("l_partkey").alias("item"))
     return graph.greedy_cover(c)
