@@ -4,19 +4,44 @@ from __future__ import annotations
 
 import re
 
-_TOKEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|`(?:\\.|[^`\\])*`|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][\w$]*|\d[\w.]*|=>|&&|\|\||\?\?|\?\.|[^\s\w]|\n""", re.S)
+_TOKEN = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][\w$]*|\d[\w.]*|=>|&&|\|\||\?\?|\?\.|[^\s\w]|\n|[^\S\n]+""", re.S)
+#: Text of a template up to its end or to an expression in it.
+_TEMPLATE = re.compile(r"(?:\\.|\$(?!\{)|[^`\\$])*(?:`|\$\{|\Z)", re.S)
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 _DECIDES = frozenset(("if", "for", "while", "case", "catch", "&&", "||", "?", "??"))
 _WORDS = frozenset("if for while switch catch with function return typeof new await of in do else try finally delete void throw super import".split())
 
 
 def tokens(text: str) -> list[tuple[str, int]]:
-    """(token, line) without comments and new lines; literals stand as they are."""
-    out, line = [], 1
-    for m in _TOKEN.finditer(text):
-        t = m[0]
-        if t != "\n" and not t.startswith(("//", "/*")):
-            out.append((t, line))
-        line += t.count("\n")
+    """(token, line) without comments and white space; literals stand as they are, but for templates, whose parts stand
+    around the tokens of the expressions in them."""
+    out: list[tuple[str, int]] = []
+    open_: list[int] = []  # braces open in each template expression
+    i, line, inside = 0, 1, False
+    while i < len(text):
+        c = text[i]
+        if inside:
+            m = _TEMPLATE.match(text, i)
+            inside = False
+            if m[0].endswith("${"):
+                open_.append(0)
+        elif c == "}" and open_ and open_[-1] == 0:
+            open_.pop()
+            inside, i = True, i + 1
+            continue
+        elif c == "`":
+            inside, i = True, i + 1
+            continue
+        else:
+            before = out[-1][0] if out else ""
+            literal = c == "/" and not (before[-1:] in ")]}" and before or re.match(r"[\w$\"'`]", before) and before not in _WORDS)
+            m = (_REGEX.match(text, i) if literal else None) or _TOKEN.match(text, i)
+            if open_:
+                open_[-1] += (c == "{") - (c == "}")
+        if not (m[0].isspace() or m[0].startswith(("//", "/*"))):
+            out.append((m[0], line))
+        line += m[0].count("\n")
+        i = m.end()
     return out
 
 
@@ -30,6 +55,56 @@ def _closing(toks: list[tuple[str, int]], at: int) -> int:
     return len(toks) - 1
 
 
+def _generic(toks: list[tuple[str, int]], k: int) -> int:
+    """The place before type parameters that end at a place; that place itself if none do."""
+    if k < 0 or toks[k][0] != ">":
+        return k
+    depth = 0
+    for j in range(k, -1, -1):
+        t = toks[j][0]
+        depth += (t == ">") - (t == "<")
+        if depth == 0:
+            return j - 1
+        if t in (";", "{", "}") and depth == 1 and t == ";":
+            break
+    return k
+
+
+_GOES_ON = frozenset(("|", "&", "<", ",", ":", "=>", "(", "[", "keyof", "typeof", "extends", "is", "."))
+
+
+def _after_type(toks: list[tuple[str, int]], at: int) -> int:
+    """The place after a type that begins at a place: a type ends at its line's end unless an operator carries it on."""
+    begin = at
+    while at < len(toks):
+        t, line = toks[at]
+        if at > begin and line > toks[at - 1][1] and toks[at - 1][0] not in _GOES_ON and t not in ("{", "=>", "|", "&", "["):
+            return len(toks)
+        if t == "{" and (at == begin or toks[at - 1][0] in _GOES_ON):
+            at = _closing(toks, at) + 1
+        elif t == "<":
+            depth = 0
+            while at < len(toks):
+                depth += (toks[at][0] == "<") - (toks[at][0] == ">")
+                at += 1
+                if depth == 0:
+                    break
+        elif t in ("{", "=>", ";", ",", "}", ")"):
+            return at
+        else:
+            at = _closing(toks, at) + 1 if t in ("(", "[") else at + 1
+            if t == "(" and at < len(toks) and toks[at][0] == "=>":  # a type of functions
+                at += 1
+    return at
+
+
+def _carries_on(toks: list[tuple[str, int]], k: int) -> bool:
+    """False where a token begins a line and neither it nor the one before carries an expression on."""
+    before, t = toks[k - 1], toks[k]
+    sign = lambda x: not re.match(r"[\w$\"'`]", x)
+    return t[1] == before[1] or (sign(before[0]) and before[0] not in (")", "]", "}")) or (sign(t[0]) and t[0] not in ("{", "!", "@", "#", "~"))
+
+
 def functions(text: str) -> list[dict]:
     """name, line, end_line, nloc and cyclomatic complexity of each function with a body in braces, and of each arrow
     function that a name is given; what lies in a function within counts for that alone."""
@@ -40,25 +115,25 @@ def functions(text: str) -> list[dict]:
         if t != "(":
             continue
         end = _closing(toks, k)
-        before = toks[k - 1][0] if k else ""
+        at = _generic(toks, k - 1)
+        before = toks[at][0] if at >= 0 else ""
         after = end + 1
         if after < len(toks) and toks[after][0] == ":":  # a type of what is returned
-            while after < len(toks) and toks[after][0] not in ("{", "=>", ";", ","):
-                after = _closing(toks, after) + 1 if toks[after][0] in "([" else after + 1
+            after = _after_type(toks, after + 1)
         nxt = toks[after][0] if after < len(toks) else ""
         if nxt == "{" and name.match(before) and (before not in _WORDS or before == "function"):
-            label = before if before != "function" else _given(toks, k - 1)
-            found.append((label, k - 1 if before == "function" else k - 1, after, _closing(toks, after)))
+            label = before if before != "function" else _given(toks, at)
+            found.append((label, at, after, _closing(toks, after)))
         elif nxt == "=>":
-            label = _given(toks, k - (before == "async"))
+            label = _given(toks, (at if at < k - 1 else k) - (before == "async") + (at < k - 1))
             body = after + 1
             if body < len(toks) and toks[body][0] == "{":
                 found.append((label, k, body, _closing(toks, body)))
             elif label != "(anonymous)":
                 stop = body
-                while stop < len(toks) and toks[stop][0] not in (";", ",", ")", "}"):
+                while stop < len(toks) and toks[stop][0] not in (";", ",", ")", "}") and (stop == body or _carries_on(toks, stop)):
                     stop = _closing(toks, stop) + 1 if toks[stop][0] in "([{" else stop + 1
-                found.append((label, k, body, min(stop, len(toks) - 1)))
+                found.append((label, k, body, min(stop, len(toks)) - 1))
     owner = [-1] * len(toks)
     for n, (_, _, a, b) in sorted(enumerate(found), key=lambda x: x[1][3] - x[1][2], reverse=True):
         owner[a : b + 1] = [n] * (b + 1 - a)
