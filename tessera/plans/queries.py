@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.plans import code_queries, graph_queries, metric_queries, mining_queries, source_queries
+from tessera.plans import code_queries, graph_queries, metric_queries, mining_queries, report_queries, source_queries
 
 FLAGSHIP = "q_threshold_violations"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (metric_queries, graph_queries, mining_queries, code_queries, source_queries):
+for _part in (metric_queries, graph_queries, mining_queries, code_queries, source_queries, report_queries):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
