@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import argparse
+import copy
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession, functions as F
 
-from tessera import project as pj
-from tessera.operators import gates, graph, history
-from tessera.sources import code, numstat
+from tessera import project as pj, report
+from tessera.operators import gates, graph, history, snapshots
+from tessera.sources import code, numstat, settings as config
 
 DEFAULT = {
     "languages": [dict(name="python", metrics=[dict(type=m, threshold=t, comparison=c, enabled=True) for m, t, c in gates.DEFAULTS])],
@@ -19,7 +21,7 @@ DEFAULT = {
 
 
 def _parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="tessera", description=__doc__)
+    top = argparse.ArgumentParser(prog="tessera", description=__doc__, allow_abbrev=True)
     sub = top.add_subparsers(dest="command", required=True)
 
     def scanning(name: str) -> argparse.ArgumentParser:
@@ -32,6 +34,10 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--threshold", action="append", default=[])
         p.add_argument("--no-gitignore", action="store_true")
         p.add_argument("--force-analyze", action="store_true")
+        p.add_argument("--cache", help="a folder of results by content; only files that it lacks are parsed")
+        p.add_argument("--words", help="a list of words, one a line or by white space, plain or packed with gzip")
+        p.add_argument("--skip", action="append", default=[], help="a name of files or folders to leave out wherever they lie")
+        p.add_argument("--no-links", action="store_true")
         p.add_argument("--root", default="", help="the root package, stripped from absolute imports")
         return p
 
@@ -53,6 +59,8 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("--top", type=int, default=20)
     r.add_argument("--baseline")
     r.add_argument("--save-baseline", action="store_true")
+    r.add_argument("--text", action="store_true", help="also print the worst functions and what differs from the baseline")
+    r.add_argument("--open", action="store_true", help="show the page")
     v = sub.add_parser("vcs")
     v.add_argument("--repo", default=".")
     v.add_argument("--window", type=int, default=90)
@@ -62,7 +70,9 @@ def _parser() -> argparse.ArgumentParser:
     t.add_argument("--coverage-file", default=".coverage")
     t.add_argument("--format", choices=("text", "json"), default="text")
     c = sub.add_parser("config")
-    c.add_argument("action", choices=("generate", "validate", "view"))
+    c.add_argument("action", choices=("generate", "validate", "view", "schema"))
+    c.add_argument("--format", choices=("summary", "table", "yaml", "json", "raw"), default="json")
+    c.add_argument("--force", action="store_true", help="write over a file that is there")
     c.add_argument("path", nargs="?", default="tessera.json")
     return top
 
@@ -84,17 +94,15 @@ def validated(settings: dict) -> list[str]:
 
 
 def _project(spark: SparkSession, a: argparse.Namespace, pattern: str = code.GLOB) -> pj.Project:
-    settings = code.config(a.config) if a.config else dict(DEFAULT)
+    settings = code.config(a.config) if a.config else copy.deepcopy(DEFAULT)
     for text in a.threshold:
         name, value = gates.parse_threshold(text)
         for lang in settings.get("languages", ()):
             old = next((m.get("comparison", "<=") for m in lang["metrics"] if m["type"] == name), "<=")
             lang["metrics"] = [*(m for m in lang["metrics"] if m["type"] != name), {"type": name, "threshold": value, "comparison": old, "enabled": True}]
-    ignore = [] if a.force_analyze else [*settings.get("ignore_patterns", ()), *a.exclude]
-    files = code.code_files(spark, a.directory, ignore, a.include, settings.get("use_gitignore", True) and not (a.no_gitignore or a.force_analyze), pattern)
-    if a.files:
-        files = files.filter(F.col("path").isin(*a.files))
-    return pj.Project(spark, files, settings, root=a.root)
+    ignore = [] if a.force_analyze else list(dict.fromkeys([*settings.get("ignore_patterns", ()), *a.exclude]))
+    files = code.code_files(spark, a.directory, ignore, a.include, settings.get("use_gitignore", True) and not (a.no_gitignore or a.force_analyze), pattern, excludes=a.skip, links=not a.no_links, also=a.files)
+    return pj.Project(spark, files, settings, code.words(spark, a.words) if a.words else None, a.root, a.cache)
 
 
 def _rows(df) -> list[dict]:
@@ -113,12 +121,20 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     """Runs a command; 0 for success, 2 for violations, 1 for what can't be analysed."""
     a = _parser().parse_args(argv)
     if a.command == "config":
+        if a.action == "schema":
+            _write(json.dumps(config.schema(), indent=2) + "\n", None)
+            return 0
         if a.action == "generate":
-            _write(json.dumps(DEFAULT, indent=2) + "\n", a.path)
+            if os.path.exists(a.path) and not a.force:
+                sys.stderr.write(f"{a.path} is there already; --force writes over it\n")
+                return 1
+            _write(config.as_yaml(DEFAULT, comments=True) if a.path.endswith((".yaml", ".yml")) else json.dumps(DEFAULT, indent=2) + "\n", a.path)
             return 0
         settings = code.config(a.path)
         wrong = validated(settings)
-        _write(json.dumps(settings, indent=2) + "\n" if a.action == "view" else "\n".join(wrong or ["valid"]) + "\n", None)
+        with open(a.path, encoding="utf-8") as f:
+            raw = f.read()
+        _write(config.view(settings, a.format, raw) if a.action == "view" else "\n".join(wrong or ["valid"]) + "\n", None)
         return int(bool(wrong))
     if a.command == "vcs":
         log = numstat.git_log(spark, a.repo, a.window).cache()
@@ -166,9 +182,20 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         if a.baseline:
             path = a.output.rsplit(".", 1)[0] + ".current.json"
             pj.write_snapshot(snap, path)
-            diff = pj.compared(code.snapshot(spark, a.baseline), code.snapshot(spark, path))
-            snap["diff"] = {k: _rows(d) for k, d in diff.items() if k != "values"}
-        _write(json.dumps(snap, indent=2) if a.format == "json" else pj.as_html(snap), a.output)
+            old = code.snapshot(spark, a.baseline)
+            diff = {k: _rows(d) for k, d in pj.compared(old, code.snapshot(spark, path)).items()}
+            before = old.head()["schema_version"]
+            sys.stderr.writelines(f"{w}\n" for w in report.schema_warnings(before, pj.SCHEMA_VERSION))
+            if a.text:
+                _write(report.diff_summary(a.baseline, diff["files"], diff["values"], diff["violations"], diff["regressions"], diff["improvements"], snapshots.EPSILON), None)
+            snap["diff"] = {k: d for k, d in diff.items() if k != "values"}
+        if a.text:
+            _write(report.worst_table(snap["worst"]), None)
+        _write(json.dumps(snap, indent=2) if a.format == "json" else report.page(snap), a.output)
+        if a.open and a.format == "html":
+            import webbrowser
+
+            webbrowser.open(f"file:{os.path.abspath(a.output)}")
         return 0
     if a.format == "json":
         _write(json.dumps(out, indent=2) + "\n", None)

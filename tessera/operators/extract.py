@@ -8,10 +8,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.functions import python_source, script_source
+from tessera import plugins
 from tessera.functions.paths import is_test, language
+from tessera.sources import cache
 from tessera.sources.tables import cut
 
+#: Names the analysers' state: raise it when what they give changes. Version of the entries of a cache.
+FINGERPRINT, VERSION = "2", 1
+
 METRIC = "metric string, value double, line int, function string, kind string, owner string, ord int"
 IMPORT = "module string, names array<string>, level int, ord int"
 CALLABLE = "name string, lineno int, is_method boolean, class_name string, call_names array<string>, computation_weight int, statements int, nesting int, returns_value boolean, return_annotation string, ord int"
@@ -21,29 +25,31 @@ ERROR = "message string, ord int"
 KINDS = {"metrics": METRIC, "imports": IMPORT, "callables": CALLABLE, "classes": CLASS, "clones": CLONE, "errors": ERROR}
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        paths, texts, tests, langs = (batch[c].to_pylist() for c in ("path", "content", "_test", "language"))
-        out: list[tuple] = []
-        for path, text, test, lang in zip(paths, texts, tests, langs):
-            if text is None:
-                out.append((path, lang, "errors", json.dumps({"message": "the file can't be read as text", "ord": 0})))
-                continue
-            rows = python_source.analyse(text, test) if lang == "python" else script_source.analyse(text)
-            out += [(path, lang, kind, json.dumps(r)) for kind, each in rows.items() for r in each]
-        columns = list(zip(*out)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "language", "kind_of_row", "payload"])
+def _runner(runners: dict):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, texts, tests, langs = (batch[c].to_pylist() for c in ("path", "content", "_test", "language"))
+            out: list[tuple] = []
+            for path, text, test, lang in zip(paths, texts, tests, langs):
+                if text is None:
+                    out.append((path, lang, "errors", json.dumps({"message": "the file can't be read as text", "ord": 0})))
+                    continue
+                out += [(path, lang, kind, json.dumps(r)) for kind, each in plugins.analyse(runners, lang, text, test).items() for r in each]
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "language", "kind_of_row", "payload"])
+
+    return run
 
 
-def extracted(files: DataFrame) -> DataFrame:
+def extracted(files: DataFrame, runners: dict | None = None) -> DataFrame:
     """(path, language, kind_of_row, payload) of files (path, content): rows of every kind, as JSON. Files in languages
     that aren't known are left out before anything is parsed. A content of null is an error row; a repeated row of a
-    file gives its rows again, so drop those first."""
+    file gives its rows again, so drop those first. runners are by language, plugins.RUNNERS by default."""
     known = files.select("path", "content").withColumn("language", language(F.col("path"))).filter("language <> 'unknown'").withColumn("_test", is_test(F.col("path")))
     spark = files.sparkSession
     # parsing outweighs reading by far, so files are spread by count and not by bytes
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return known.repartition(tasks, "path").mapInArrow(_run, "path string, language string, kind_of_row string, payload string")
+    return known.repartition(tasks, "path").mapInArrow(_runner(plugins.RUNNERS if runners is None else runners), "path string, language string, kind_of_row string, payload string")
 
 
 def rows(found: DataFrame, kind: str) -> DataFrame:
@@ -51,12 +57,38 @@ def rows(found: DataFrame, kind: str) -> DataFrame:
     return found.filter(F.col("kind_of_row") == kind).select("path", "language", F.from_json("payload", KINDS[kind]).alias("p")).select("path", "language", "p.*")
 
 
+def reported_errors(found: DataFrame) -> DataFrame:
+    """(path, message): the errors, put together, of files that have no metric at all."""
+    by = found.groupBy("path").agg(F.count_if(F.col("kind_of_row") == "metrics").alias("n"), F.array_sort(F.collect_list(F.when(F.col("kind_of_row") == "errors", F.get_json_object("payload", "$.message")))).alias("said"))
+    return by.filter("n = 0 AND size(said) > 0").select("path", F.array_join("said", "; ").alias("message"))
+
+
 class Extract:
-    """All tables of some files. The extraction runs once; what is derived reads the table that it wrote."""
+    """All tables of some files. The extraction runs once; what is derived reads the table that it wrote. With a cache,
+    a folder of earlier results by content, only files are parsed that it doesn't have; parsed is their number."""
 
-    def __init__(self, files: DataFrame, keep: bool = True):
+    def __init__(self, files: DataFrame, keep: bool = True, folder: str | None = None, runners: dict | None = None, fingerprint: str = FINGERPRINT):
         self.files = files.withColumn("language", language(F.col("path"))).filter("language <> 'unknown'")
-        self.all = cut(extracted(files)) if keep else extracted(files)
+        self.parsed: int | None = None
+        if folder is None:
+            self.all = cut(extracted(files, runners)) if keep else extracted(files, runners)
+            return
+        # what is found in a file depends on whether it is a test, too
+        kind = F.concat("language", F.when(is_test(F.col("path")), "|test").otherwise(""))
+        keyed = cut(self.files.filter("content IS NOT NULL").select("path", "language", "content", cache.content_key(F.col("content"), fingerprint, kind).alias("content_key")))
+        known = cache.read_entries(files.sparkSession, folder, VERSION)
+        missing = keyed if known is None else cache.absent(keyed, known)
+        one = cut(missing.dropDuplicates(["content_key"]).select("path", "content", "content_key"))
+        self.parsed = one.count()
+        rows_ = extracted(one, runners).groupBy("path").agg(F.collect_list(F.struct("kind_of_row", "payload")).alias("rows"))
+        none = F.array().cast("array<struct<kind_of_row:string,payload:string>>")
+        failed = F.transform(F.filter("rows", lambda r: r["kind_of_row"] == "errors"), lambda r: r["payload"])
+        fresh = cut(one.select("path", "content_key").join(rows_, "path", "left").select("content_key", F.coalesce("rows", none).alias("rows")).withColumn("errors", failed))
+        cache.put(fresh, folder, VERSION)
+        every = fresh.select("content_key", "rows") if known is None else fresh.select("content_key", "rows").unionByName(known.select("content_key", "rows").join(keyed.select("content_key").distinct(), "content_key", "left_semi"))
+        once = every.groupBy("content_key").agg(F.first("rows").alias("rows"))
+        unreadable = extracted(self.files.filter("content IS NULL"), runners)
+        self.all = cut(keyed.select("path", "language", "content_key").join(once, "content_key").select("path", "language", F.inline("rows")).unionByName(unreadable))
 
     def __getattr__(self, kind: str) -> DataFrame:
         if kind not in KINDS:

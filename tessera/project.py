@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import csv
-import html
 import io
 import json
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.functions.paths import folder, module
+from tessera.functions import names
+from tessera.functions.paths import folder, glob_regex, module
 from tessera.operators import classes, clones, gates, graph, imports, narrative, snapshots, stats
-from tessera.operators.extract import Extract
+from tessera.operators.extract import Extract, reported_errors
 from tessera.sources.tables import cut
 
 SCHEMA_VERSION = 2
@@ -21,11 +21,21 @@ SCHEMA_VERSION = 2
 class Project:
     """Tables over the files (path, content) of one project; each is computed when asked for, the extraction once."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, settings: dict | None = None, vocabulary: DataFrame | None = None, root: str = ""):
+    def __init__(self, spark: SparkSession, files: DataFrame, settings: dict | None = None, vocabulary: DataFrame | None = None, root: str = "", cache: str | None = None, runners: dict | None = None, derivers: list | None = None):
+        """vocabulary: words (word and, where it has one, role); the words of the project's modules and classes and those
+        that the settings allow are added. cache: a folder of earlier results by content. runners: analysers by language.
+        derivers: functions of a project that give (subject, metric, value, message); DERIVERS where None."""
         self.spark, self.settings, self.root = spark, settings or {}, root
-        self.extract = Extract(files.dropDuplicates(["path"]))
+        self.extract = Extract(files.dropDuplicates(["path"]), folder=cache, runners=runners)
         self.files = self.extract.files
-        self.vocabulary = vocabulary if vocabulary is not None else spark.createDataFrame([], "word string")
+        self.words = vocabulary if vocabulary is not None else spark.createDataFrame([], "word string, role string")
+        self.derivers = DERIVERS if derivers is None else derivers
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        plain = names.vocabulary(self.words)
+        own = self.modules.select(F.col("module").alias("name")).unionByName(self.extract.classes.select("name"))
+        return cut(names.vocabulary(plain, names.anchors(own, plain), self.settings.get("allowed_words")))
 
     @cached_property
     def modules(self) -> DataFrame:
@@ -97,33 +107,10 @@ class Project:
     @cached_property
     def findings(self) -> DataFrame:
         """(subject, metric, value, message): what the settings forbid of modules, folders and cycles."""
-        tree, graph_, story = (self.settings.get(k) for k in ("tree_shape", "import_graph", "narrative"))
-        none = self.spark.createDataFrame([], "subject string, metric string, value double, message string")
-        say = lambda df, subject, metric, value, text: df.select(F.col(subject).alias("subject"), F.lit(metric).alias("metric"), F.col(value).cast("double").alias("value")).withColumn("message", F.concat("subject", F.lit(f": {text}, "), F.format_string("%.2f", "value")))
-        out = none
-        if tree is not None:
-            low, high = tree.get("fan_out_min", 2), tree.get("fan_out_max", 7)
-            bad = self.fan_out.filter((F.col("children") > high) | ((F.col("children") < low) & (F.col("folder") != ".")))
-            for pattern in tree.get("exclude", ()):
-                from tessera.functions.paths import glob_regex
-
-                bad = bad.filter(~F.col("folder").rlike(glob_regex(pattern)))
-            out = out.unionByName(say(bad, "folder", "directory_children", "children", f"children outside {low} to {high}"))
-            if tree.get("layers"):
-                up = imports.layering(self.edges, self.modules, tree["layers"]).filter("violations > 0")
-                out = out.unionByName(say(up, "module", "layering_violations", "violations", "imports of outer layers"))
-        if graph_ is not None:
-            if graph_.get("forbid_cycles", True):
-                out = out.unionByName(say(self.cycles, "subject", "dependency_cycles", "size", "modules on a cycle"))
-            most = graph_.get("max_stable_dependencies_violations", 0)
-            bad = imports.unstable_dependencies(self.edges, self.coupling).filter(F.col("violations") > most)
-            out = out.unionByName(say(bad, "module", "stable_dependencies_violations", "violations", "imports of less stable modules"))
-        if story is not None:
-            counted = self.narrative.filter(F.col("metric").isin("narrative_mixed_functions", "narrator_budget_exceeded", "computer_budget_exceeded", "naming_antipatterns") & (F.col("value") > 0))
-            out = out.unionByName(counted.select(F.col("module").alias("subject"), "metric", "value", F.concat("module", F.lit(": "), F.array_join("names", ", ")).alias("message")))
-            if story.get("name_clarity_floor") is not None:
-                low = self.narrative.filter((F.col("metric") == "name_clarity") & (F.col("value") < story["name_clarity_floor"]))
-                out = out.unionByName(say(low, "module", "name_clarity", "value", "clarity of names below the floor"))
+        out = self.spark.createDataFrame([], "subject string, metric string, value double, message string")
+        for derive in self.derivers:
+            for part in derive(self):
+                out = out.unionByName(part)
         return out
 
     @cached_property
@@ -143,7 +130,7 @@ class Project:
     def snapshot(self) -> dict:
         """A snapshot as one document, built on the driver: for a report, not for further queries."""
         of: dict[str, dict] = {r["path"]: {"path": r["path"], "language": r["language"], "error": None, "metrics": {}, "violations": [], "functions": []} for r in self.files.select("path", "language").orderBy("path").collect()}
-        for r in self.extract.errors.collect():
+        for r in reported_errors(self.extract.all).collect():
             of[r["path"]]["error"] = r["message"]
         last = self.extract.metrics.filter("function IS NULL").groupBy("path", "metric").agg(F.max_by("value", "ord").alias("value"))
         for r in last.orderBy("path", "metric").collect():
@@ -181,6 +168,55 @@ class Project:
         return stats.by_package(files.withColumn("package", name), "package", values)
 
 
+# --- what settings forbid
+
+
+def _said(df: DataFrame, subject: str, metric: str, value: str, text: str) -> DataFrame:
+    out = df.select(F.col(subject).alias("subject"), F.lit(metric).alias("metric"), F.col(value).cast("double").alias("value"))
+    return out.withColumn("message", F.concat("subject", F.lit(f": {text}, "), F.format_string("%.2f", "value")))
+
+
+def forbidden_shapes(p: Project) -> list[DataFrame]:
+    tree = p.settings.get("tree_shape")
+    if tree is None:
+        return []
+    low, high = tree.get("fan_out_min", 2), tree.get("fan_out_max", 7)
+    bad = p.fan_out.filter((F.col("children") > high) | ((F.col("children") < low) & (F.col("folder") != ".")))
+    for pattern in tree.get("exclude", ()):
+        bad = bad.filter(~F.col("folder").rlike(glob_regex(pattern)))
+    out = [_said(bad, "folder", "directory_children", "children", f"children outside {low} to {high}")]
+    if tree.get("layers"):
+        up = imports.layering(p.edges, p.modules, tree["layers"]).filter("violations > 0")
+        out.append(_said(up, "module", "layering_violations", "violations", "imports of outer layers"))
+    return out
+
+
+def forbidden_imports(p: Project) -> list[DataFrame]:
+    rules = p.settings.get("import_graph")
+    if rules is None:
+        return []
+    most = rules.get("max_stable_dependencies_violations", 0)
+    bad = imports.unstable_dependencies(p.edges, p.coupling).filter(F.col("violations") > most)
+    out = [_said(bad, "module", "stable_dependencies_violations", "violations", "imports of less stable modules")]
+    return [_said(p.cycles, "subject", "dependency_cycles", "size", "modules on a cycle"), *out] if rules.get("forbid_cycles", True) else out
+
+
+def forbidden_stories(p: Project) -> list[DataFrame]:
+    rules = p.settings.get("narrative")
+    if rules is None:
+        return []
+    counted = p.narrative.filter(F.col("metric").isin("narrative_mixed_functions", "narrator_budget_exceeded", "computer_budget_exceeded", "naming_antipatterns") & (F.col("value") > 0))
+    out = [counted.select(F.col("module").alias("subject"), "metric", "value", F.concat("module", F.lit(": "), F.array_join("names", ", ")).alias("message"))]
+    if rules.get("name_clarity_floor") is not None:
+        low = p.narrative.filter((F.col("metric") == "name_clarity") & (F.col("value") < rules["name_clarity_floor"]))
+        out.append(_said(low, "module", "name_clarity", "value", "clarity of names below the floor"))
+    return out
+
+
+#: What a project's findings are derived by, each giving any number of tables.
+DERIVERS = [forbidden_shapes, forbidden_imports, forbidden_stories]
+
+
 # --- text, JSON, CSV and HTML
 
 
@@ -208,16 +244,6 @@ def as_table(rows: list[dict]) -> str:
     return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in text) + "\n"
 
 
-def as_html(snapshot: dict) -> str:
-    """A page of its own, without any reference to a network."""
-    data = json.dumps(snapshot).replace("/", "\\/")
-    rows = "".join(f"<tr><td>{html.escape(f['path'])}<td>{len(f['functions'])}<td>{len(f['violations'])}" for f in snapshot["files"])
-    page = f"<!doctype html><meta charset=utf-8><title>Metrics</title><style>td,th{{padding:2px 8px;text-align:left}}</style><table><tr><th>file<th>functions<th>violations{rows}</table><script type=\"application/json\" id=\"data\">{data}</script>"
-    if "://" in page:
-        raise ValueError("the page refers to a network")
-    return page
-
-
 def write_snapshot(snapshot: dict, path: str, baseline: bool = False) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(snapshot, f, indent=2)

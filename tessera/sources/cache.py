@@ -33,6 +33,13 @@ def read_entries(spark: SparkSession, folder: str, version: int) -> DataFrame |
 
 
 def put(entries: DataFrame, folder: str, version: int) -> None:
-    """Adds entries (content_key, errors and others) without errors, in folders by the first characters of their keys."""
+    """Adds entries (content_key, errors and others) without errors, in folders by the first characters of their keys. Files
+    appear when the job commits, whole or not at all."""
     good = entries.filter(F.size(F.coalesce("errors", F.array().cast("array<string>"))) == 0)
     good.withColumn("version", F.lit(version)).withColumn("key_prefix", F.substring("content_key", 1, PREFIX)).write.mode("append").partitionBy("key_prefix").parquet(folder)
+
+
+def clear(spark: SparkSession, folder: str) -> None:
+    """Forgets all entries."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

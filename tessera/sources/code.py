@@ -42,7 +42,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], ["path", "content"])
 
 
-def code_files(spark: SparkSession, root: str, ignore: Sequence[str] = (), include: Sequence[str] = (), use_gitignore: bool = True, pattern: str = GLOB, depth: int = 0) -> DataFrame:
+def code_files(spark: SparkSession, root: str, ignore: Sequence[str] = (), include: Sequence[str] = (), use_gitignore: bool = True, pattern: str = GLOB, depth: int = 0, excludes: Sequence[str] = (), links: bool = True, also: Sequence[str] = ()) -> DataFrame:
     """(path, language, content) of the files of a tree in known languages, paths relative to it.
 
     Patterns of ignore and, unless told otherwise, the tree's .gitignore leave files out, before anything is read as
@@ -56,10 +56,18 @@ def code_files(spark: SparkSession, root: str, ignore: Sequence[str] = (), inclu
         base, known = root.rstrip("/"), found.select(F.expr(f"substring(path, length('{root.rstrip('/')}') + 2)").alias("path"), F.col("path").alias("at"), "content")
     else:
         base = os.path.abspath(root)
-        names = [(os.path.relpath(os.path.join(d, n), base).replace(os.sep, "/"), os.path.join(d, n)) for d, _, ns in os.walk(base) for n in ns if any(fnmatch.fnmatch(n, x) for x in _braces(pattern))]
+        names = [(os.path.relpath(os.path.join(d, n), base).replace(os.sep, "/"), os.path.join(d, n)) for d, _, ns in os.walk(base, followlinks=links) for n in ns if any(fnmatch.fnmatch(n, x) for x in _braces(pattern)) or also]
+        if not links:
+            names = [(n, at) for n, at in names if not os.path.islink(at)]
         known = spark.createDataFrame(names, "path string, at string")
     rules = [*ignore, *(ignore_lines(base) if use_gitignore else ())]
-    files = known.filter(language(F.col("path")) != "unknown").filter(~ignored(F.col("path"), rules, include))
+    named = F.element_at(F.split("path", "/"), -1).rlike("|".join(f"(?:{fnmatch.translate(x)})" for x in _braces(pattern)).replace("(?s:", "(?:").replace("\\z", "$").replace("\\Z", "$"))
+    chosen = named & ~ignored(F.col("path"), rules, include)
+    if excludes:
+        chosen &= ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, excludes)))
+    if also:
+        chosen |= F.col("path").isin(*also)
+    files = known.filter(language(F.col("path")) != "unknown").filter(chosen)
     if depth:
         files = files.filter(F.size(F.split("path", "/")) - 1 < depth)
     if "://" not in root:
@@ -143,14 +151,13 @@ def worst_cyclomatic(snap: DataFrame) -> DataFrame:
 
 
 def config(path: str) -> dict:
-    """A configuration in JSON or, where a reader for it is installed, YAML."""
+    """A configuration in JSON or plain YAML (see settings.parsed)."""
+    from tessera.sources.settings import parsed
+
     with open(path, encoding="utf-8") as f:
-        text = f.read()
-    try:
-        return json.loads(text)
-    except ValueError:
-        try:
-            import yaml
-        except ImportError as e:
-            raise RuntimeError("reading YAML needs the package yaml; JSON works without it") from e
-        return yaml.safe_load(text) or {}
+        return parsed(f.read())
+
+
+def words(spark: SparkSession, path: str) -> DataFrame:
+    """(word) of a list of words, by white space, packed with gzip or plain."""
+    return spark.read.text(path).select(F.explode(F.split(F.lower(F.trim("value")), r"\s+")).alias("word")).filter("word <> ''").distinct()

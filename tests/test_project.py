@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tessera.__main__ import run
 from tessera.functions import names, paths, python_source, script_source
 from tessera.operators import graph, history, imports
-from tessera.project import Project, as_html, compared
-from tessera.sources import cache, code, numstat
+from tessera import plugins, report
+from tessera.project import Project, compared
+from tessera.sources import cache, code, numstat, settings as config
 
 TREE = {
     "pkg/__init__.py": "import pkg.cli\n",
@@ -157,7 +158,7 @@ def test_source_rules():
     assert of["boolean_flag_parameters", "g"] == 1 and of["boolean_flag_parameters", "h"] == 0 and of["comment_density", None] == 0
     assert python_source.analyse("") ["errors"] == [] and python_source.analyse("\0")["errors"]
     assert [(f["name"], f["cyclomatic"], f["end_line"]) for f in script_source.functions("class K {\n go(a) {\n  while (a) { a = a || 1 }\n }\n}\nconst t = x => 1\nlet u = (y) => y ? 1 : 2;\n")] == [("go", 3, 4), ("u", 2, 7)]
-    assert as_html({"files": [{"path": "<a>", "functions": [], "violations": [], "error": "</script> http://x"}]}).count("://") == 0
+    assert report.page({"files": [{"path": "<a>", "functions": [], "violations": [], "error": "</script> http://x"}]}).count("://") == 0
 
 
 def test_strong_components_both_ways(spark):
@@ -207,3 +208,107 @@ def test_greedy_cover_against_plain(spark):
         want.append((t, len(by[t] & left)))
         left -= by[t]
     assert [(r.test, r.gain) for r in graph.greedy_cover(spark.createDataFrame(cells, "test string, item int")).orderBy("step").collect()] == want
+
+
+def test_only_what_changed_is_parsed(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    class Counting:
+        names = ()
+
+        def available(self):
+            return True
+
+        def analyse(self, text, test_file):
+            import os
+
+            with open(os.path.join(str(seen), str(len(text))), "a") as f:
+                f.write("x")
+            return python_source.analyse(text, test_file)
+
+    runners = {"python": [Counting()]}
+    rows = [("a.py", "def f():\n    pass\n"), ("b.py", "def f():\n    pass\n"), ("c.py", "x = 1\n"), ("bad.py", "def (\n"), ("tests/a.py", "def f():\n    pass\n"), ("n.py", None)]
+    read = lambda rows: Project(spark, spark.createDataFrame(rows, "path string, content string"), cache=str(tmp_path / "cache"), runners=runners)
+    plain = Project(spark, spark.createDataFrame(rows, "path string, content string"))
+    every = lambda p: sorted(map(tuple, p.extract.all.collect()))
+    first = read(rows)
+    assert first.extract.parsed == 4 and every(first) == every(plain)
+    again = read(rows)
+    assert again.extract.parsed == 1 and every(again) == every(plain)  # what fails isn't kept
+    changed = read([*rows[:2], ("c.py", "y = 22\n"), ("new.py", "x = 1\n")])
+    assert changed.extract.parsed == 1 and {r.path for r in changed.extract.all.select("path").collect()} == {"a.py", "b.py", "c.py", "new.py"}
+    cache.clear(spark, str(tmp_path / "cache"))
+    assert read(rows).extract.parsed == 4
+
+
+def test_analysers_and_derivers_of_users(spark):
+    class Words:
+        names = ("words",)
+
+        def available(self):
+            return True
+
+        def analyse(self, text, test_file):
+            return {"metrics": [{"metric": "words", "value": float(len(text.split())), "line": None, "function": None, "kind": "file", "owner": None, "ord": 0}]}
+
+    class Missing(Words):
+        def available(self):
+            return False
+
+    files = spark.createDataFrame([("a.py", "x = 1\n"), ("b.ts", "let y\n")], "path string, content string")
+    long = lambda p: [p.extract.metrics.filter("metric = 'words' AND value > 2").select(F.col("path").alias("subject"), "metric", "value", F.lit("long").alias("message"))]
+    p = Project(spark, files, runners={"python": [*plugins.RUNNERS["python"], Words()], "typescript": [Missing()]}, derivers=[long])
+    assert {(r.path, r.metric) for r in p.extract.metrics.filter("metric IN ('words', 'lines_of_code')").collect()} == {("a.py", "words"), ("a.py", "lines_of_code")}
+    assert [(r.subject, r.value) for r in p.findings.collect()] == [("a.py", 3.0)]
+    assert Project(spark, files, {"import_graph": {}}, derivers=[]).findings.count() == 0
+
+
+def test_settings():
+    text = '# c\nlanguages:\n  - name: python   # note\n    metrics:\n      - type: cyclomatic_complexity\n        threshold: 10\n        comparison: "<="\n      - {type: x, threshold: 1.5, enabled: false}\nignore_patterns: ["**/t#x", \'a, b\']\nuse_gitignore: true\ntree_shape:\n  layers:\n  - cli\n  - core\nprofile: ~\n'
+    want = {"languages": [{"name": "python", "metrics": [{"type": "cyclomatic_complexity", "threshold": 10, "comparison": "<="}, {"type": "x", "threshold": 1.5, "enabled": False}]}], "ignore_patterns": ["**/t#x", "a, b"], "use_gitignore": True, "tree_shape": {"layers": ["cli", "core"]}, "profile": None}
+    assert config.parsed(text) == want == config.parsed(config.as_yaml(want, comments=True)) == config.parsed(json.dumps(want))
+    assert config.as_yaml(want, comments=True).startswith("# ") and config.parsed("") == {}
+    for wrong in ("a: 1\n   b: 2\n", "a: &x 1\n", "just words\n"):
+        with pytest.raises(ValueError):
+            config.parsed(wrong)
+    assert "python: 1 thresholds" in config.view(want, "summary") and "1.5" in config.view(want, "table") and config.view(want, "raw", text) == text
+    assert config.schema()["properties"]["profile"]["enum"] == ["extreme", "standard", "relaxed"]
+
+
+def test_words_of_a_report():
+    rows = [{"rank": 1, "path": "a.py", "name": "f", "line": 3, "score": 12.0, "cyclomatic": 12.0, "cognitive": None}]
+    assert report.worst_table(rows).splitlines()[2].split() == ["1", "12", "12", "-", "f", "a.py:3"] and "no function" in report.worst_table([])
+    assert report.schema_warnings(1, 1) == [] and len(report.schema_warnings(1, 2)) == 1
+    nothing = report.diff_summary("x", [{"path": "a", "status": "common"}], [], [], [], [], 0.01)
+    assert "nothing differs by more than 0.01" in nothing
+    said = report.diff_summary("x", [{"path": "n", "status": "added"}], [{"path": "a", "name": "", "metric": "m", "old": 1.0, "new": 2.5, "delta": 1.5}], [{"path": "a", "metric": "m", "name": "f", "change": "added"}], [{"path": "a", "name": "f", "delta": 2.0, "newly": True}], [], 0.01)
+    assert "  new n" in said and "a m: 1 to 2.5 (+1.5)" in said and "+2 a f *" in said and "new violations: 1" in said
+
+
+def test_scan_options_and_words(spark, tmp_path):
+    import gzip
+    import os
+
+    for name in ("a.py", "skip/b.py", "sub/c.py", "sub/d.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    os.symlink(tmp_path / "a.py", tmp_path / "link.py")
+    found = lambda **kw: {r.path for r in code.code_files(spark, str(tmp_path), **kw).collect()}
+    assert found(excludes=["skip"]) == {"a.py", "link.py", "sub/c.py"} and found(links=False) == {"a.py", "skip/b.py", "sub/c.py"}
+    assert found(ignore=["**/*.py"], also=["sub/c.py"]) == {"sub/c.py"}
+    with gzip.open(tmp_path / "words.gz", "wt") as f:
+        f.write("Apple pear\n\nfig\n")
+    assert sorted(r.word for r in code.words(spark, str(tmp_path / "words.gz")).collect()) == ["apple", "fig", "pear"]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from tessera.sources import tables
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isEmpty": staticmethod(lambda: True)}))}))})
+
+    fake = type("Session", (), {"sparkContext": Context(), "conf": type("C", (), {"get": staticmethod(lambda k, d=None: d)})})
+    with pytest.raises(RuntimeError):
+        tables.shared_folder(fake)
