@@ -107,6 +107,35 @@ SELECT 2 * page_id + 1 AS revisit_id, 2 * r AS response_id, curl AS canonical_ur
   CASE WHEN agree THEN html END AS payload FROM j
 """
 
+#: Sets of tokens are counted one by one: all of one or two items of a bad page, and larger ones of its WIDTH surest items.
+_OP5 = r"""
+WITH r AS (SELECT page_id, url, lower(regexp_replace(trim(coalesce(url, '')), '^[A-Za-z][A-Za-z0-9+.-]*://', '')) AS rest FROM pages),
+h AS (SELECT *, regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?#]*'), '^[^@]*@', ''), ':[0-9]*$', '') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+  string_split_regex(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '[&;]') AS pairs FROM r),
+t AS (SELECT page_id, url, list_sort(list_distinct(list_filter(['host:' || host], lambda x: x <> 'host:') || list_transform(list_filter(string_split(host, '.') || string_split_regex(host, '[.\-_]'), lambda x: x <> ''), lambda x: 'h:' || x)
+  || list_transform(list_filter(list_transform(string_split_regex(path, '[/.\-_]+'), lambda x: regexp_replace(x, '^[0-9]+$', '#')), lambda x: x <> ''), lambda x: 'p:' || x)
+  || list_transform(list_filter(list_transform(pairs, lambda x: regexp_extract(x, '^[^=]*')), lambda x: x <> ''), lambda x: 'q:' || x) || list_transform(list_filter(pairs, lambda x: contains(x, '=')), lambda x: 'q:' || x)
+  || CASE WHEN contains(rest, '#') THEN ['#'] ELSE [] END)) AS toks FROM h),
+m AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+k AS (SELECT row_number() OVER (ORDER BY page_id) AS row, toks, bad FROM t JOIN m ON doc_id = page_id),
+lim AS (SELECT greatest(0.001 * sum(bad), 5) AS least FROM k),
+o AS (SELECT tok, count(*) AS df, sum(bad) AS bad_df, list(row ORDER BY row) AS seen FROM (SELECT row, bad, unnest(toks) AS tok FROM k) GROUP BY tok),
+c AS (SELECT min(tok) AS name, list(tok) AS members, df, max(bad_df) AS bad_df FROM o, lim WHERE bad_df >= least GROUP BY df, seen),
+e AS (SELECT name, unnest(members) AS tok FROM c),
+ki AS (SELECT row, max(bad) AS bad, list(DISTINCT name) AS items FROM (SELECT row, bad, unnest(toks) AS tok FROM k) JOIN e USING (tok) GROUP BY row),
+b AS (SELECT row, list(name ORDER BY -bad_df / df, name) AS u FROM (SELECT row, unnest(items) AS name FROM ki WHERE bad = 1) JOIN c USING (name) WHERE bad_df < df GROUP BY row),
+p2 AS (SELECT list_sort([u[i], u[j]]) AS rule FROM (SELECT u, i, unnest(range(i + 1, len(u) + 1)) AS j FROM (SELECT u, unnest(range(1, len(u) + 1)) AS i FROM b))),
+p3 AS (SELECT list_sort(list_filter(w, lambda x, i: (mask >> (i - 1)) & 1 = 1)) AS rule FROM (SELECT u[:8] AS w, unnest(range(1, CAST(pow(2, least(len(u), 8)) AS BIGINT))) AS mask FROM b) WHERE bit_count(mask) > 2),
+q AS (SELECT rule FROM (SELECT rule FROM p2 UNION ALL SELECT rule FROM p3) GROUP BY rule HAVING count(*) >= (SELECT least FROM lim) UNION ALL SELECT [name] FROM c),
+g AS (SELECT rule, sum(bad) AS n_bad, count(*) AS n FROM q JOIN ki ON list_has_all(items, rule) GROUP BY rule),
+s AS (SELECT rule, n_bad, n_bad / n AS conf FROM g WHERE n_bad / n >= 0.6),
+f AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s AS z WHERE z.rule <> s.rule AND list_has_all(s.rule, z.rule) AND z.conf >= s.conf)),
+pi AS (SELECT toks, list(name) AS items, map_from_entries(list((name, tok))) AS low FROM (SELECT toks, name, min(tok) AS tok FROM (SELECT toks, unnest(toks) AS tok FROM (SELECT DISTINCT toks FROM t)) JOIN e USING (tok) GROUP BY toks, name) GROUP BY toks),
+x AS (SELECT toks, conf, n_bad, array_to_string(list_sort(list_transform(rule, lambda y: low[y])), ' + ') AS said FROM pi JOIN f ON list_has_all(items, rule)),
+y AS (SELECT toks, count(*) AS n_rules, first(conf ORDER BY conf DESC, n_bad DESC, said) AS conf, first(said ORDER BY conf DESC, n_bad DESC, said) AS said FROM x GROUP BY toks)
+SELECT page_id, url, coalesce(n_rules, 0) AS n_rules, round(conf, 9) AS confidence, said AS rule, n_rules IS NULL AS keep FROM t LEFT JOIN y ON y.toks = t.toks
+"""
+
 _OP6 = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_distance(a.v, b.v), 9) AS d FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id),
@@ -114,4 +143,4 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY d, neighbor
 SELECT vec_id, neighbor_id, rank, round(d, 6) AS distance FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_metric_search": _OP6, "op4_warc_revisits": _OP4, "op3_mixing": _OP3, "op1_suffix_dedup": _OP1}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": _OP5, "op6_metric_search": _OP6, "op4_warc_revisits": _OP4, "op3_mixing": _OP3, "op1_suffix_dedup": _OP1}
