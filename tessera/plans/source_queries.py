@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions.paths import language
+from tessera.functions.patterns import Patterns
 from tessera.operators import classes, extract, gates, narrative
 from tessera.plans.registry import registry
 from tessera.project import Project
@@ -219,3 +220,18 @@ def q_language_files(spark, sf_dir):
     """Files by language, with those in none that is known."""
     p = _parts(spark, sf_dir).select(F.concat(F.lit("a/f"), F.col("k").cast("string"), F.element_at(F.array(F.lit(".py"), F.lit(".tsx"), F.lit(".md")), (F.col("z") % 3 + 1).cast("int"))).alias("path"))
     return p.groupBy(language(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("""SELECT p_partkey AS k, greatest(0, p_size % 6 - 1) AS nested_if_else, greatest(0, p_size % 6 - 2) AS long_elif_chain, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS boolean_flag,
+ p_size % 2 AS accumulator_loop, CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END AS boolean_search, CASE WHEN p_size % 4 = 0 THEN 1 ELSE 0 END AS nested_try FROM part""")
+def q_source_patterns(spark, sf_dir):
+    """An analyser besides the usual ones."""
+    z = F.col("z")
+    text = _fill(
+        "def f(v, xs):\n    out = []\n    for x in xs:\n        <append>\n    for x in xs:\n        if x == v:\n            hit = True\n<stop>    if v == 0:\n        v = 1\n<more>    try:\n<inner>    except KeyError:\n        v = 0\n    return v\n",
+        append=F.when(z % 2 == 1, "out.append(x)").otherwise("pass"), stop=F.when(z % 3 == 0, "").otherwise("            break\n"), more=_times(z % 6, "    elif v == 2:\n        v = 3\n"),
+        inner=F.when(z % 4 == 0, "        try:\n            v = 4\n        except ValueError:\n            v = 5\n").otherwise("        v = 6\n"),
+    )
+    files = _parts(spark, sf_dir).select(F.concat(F.lit("src/part_"), F.col("k").cast("string"), F.lit(".py")).alias("path"), text.alias("content"))
+    m = extract.rows(extract.extracted(files, {"python": [Patterns()]}), "metrics")
+    return m.groupBy(_key().alias("k")).agg(*(F.count_if(F.col("metric") == p).alias(p) for p in Patterns.names))
