@@ -66,6 +66,20 @@ class Vocabulary:
         return self.flat[at]
 
 
+    def spell_out(self, flat: np.ndarray, ends: np.ndarray, raw: np.ndarray, offs: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """For lists of pieces that end at ends: whether each spells its text of raw byte for byte."""
+        upto = np.append(0, np.cumsum(self.lens[flat]))[np.append(0, ends)]
+        size, first = np.diff(upto), offs[text]
+        good = size == offs[text + 1] - first
+        spelt = self.spelt(flat)
+        if good.all():
+            there = np.repeat(first - upto[:-1], size)
+            there += np.arange(len(there))
+            wrong = np.append(0, np.cumsum(spelt != raw[there]))
+            return wrong[upto[1:]] == wrong[upto[:-1]]
+        return np.array([bool(g) and np.array_equal(spelt[a:b], raw[x : x + b - a]) for g, a, b, x in zip(good, upto[:-1], upto[1:], first)])
+
+
 class Trie:
     def __init__(self, vocabulary: Vocabulary):
         ids: dict[bytes, int] = {}
@@ -150,7 +164,9 @@ class Lattice:
             fill[p] += 1
         places, sizes, pieces = all_places, all_sizes, all_pieces
         far = end[places] - places
-        log = np.where(pieces >= 0, trie.log[pieces], trie.byte_log * sizes)
+        log = trie.log[pieces]
+        bare = np.flatnonzero(pieces < 0)
+        log[bare] = trie.byte_log * sizes[bare]
         total = np.zeros(n + 1)
         target = places + sizes
         # the value at a chunk's end is 0, also where the next chunk begins
@@ -159,17 +175,18 @@ class Lattice:
         new[1:] = places[1:] != places[:-1]
         heads = np.flatnonzero(new)
         cuts = np.append(np.flatnonzero(np.append(True, far[heads][1:] != far[heads][:-1])), len(heads)) if len(heads) else np.zeros(1, np.int64)
-        value = np.empty(len(places))
+        cond = np.empty(len(places))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             e0, e1 = heads[a], heads[b] if b < len(heads) else len(places)
             v = log[e0:e1] + np.where(last[e0:e1], 0.0, total[target[e0:e1]])
-            value[e0:e1] = v
             h = heads[a:b] - e0
             top = np.maximum.reduceat(v, h)
             size = np.diff(np.append(h, e1 - e0))
-            total[places[heads[a:b]]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size)), h))
-        self.cond = value - total[places]
-        p = np.exp(self.cond)
+            here = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, size)), h))
+            total[places[heads[a:b]]] = here
+            np.subtract(v, np.repeat(here, size), out=cond[e0:e1])
+        self.cond = cond
+        p = np.exp(cond)
         run = np.cumsum(p)
         before = np.repeat(run[heads] - p[heads], np.diff(np.append(heads, len(places)))) if len(heads) else run
         self.cdf = run - before
@@ -178,8 +195,11 @@ class Lattice:
         self.count = np.zeros(n + 1, np.int64)
         self.first[places[heads]] = heads
         self.count[places[heads]] = np.diff(np.append(heads, len(places)))
+
+    def rest(self, edges: np.ndarray) -> np.ndarray:
+        """Log of what the other edges at the places of some have together."""
         with np.errstate(divide="ignore"):
-            self.rest = np.where(self.count[places] > 1, np.log(np.maximum(1 - p, 0)), -np.inf)
+            return np.where(self.count[self.place[edges]] > 1, np.log(np.maximum(1 - self.prob[edges], 0)), -np.inf)
 
     def descend(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sampled path from each place at (-1: none): (edges, lane by lane; edges of each lane)."""
@@ -237,23 +257,25 @@ class _Search:
         cond = self.l.cond[path]
         n = len(self.paths)
         self.paths.append((path, float(cond.sum()), top))
-        top_few, before, i = np.zeros(0), float(cond[:branch].sum()), branch
+        line, most, before, i = -np.inf, np.zeros(0), float(cond[:branch].sum()), branch
         if taken:
             self._leave(n, i, before, top, [*taken, int(path[i])])
             before += float(cond[i])
             i += 1
         while i < len(path):
-            if len(top_few) == self.pops and before + _TOP < top_few[0]:
+            if before + _TOP < line:
                 break  # no later node will ever be popped: the nodes' masses fall, and a uniform has finitely many values
             j = min(len(path), i + 1024)
             upto = np.empty(j - i + 1)
             upto[0] = before
             np.cumsum(cond[i:j], out=upto[1:])
             upto[1:] += before
-            g = _gumbels(upto[:-1] + self.l.rest[path[i:j]], top, self._uniform(n, np.arange(i, j)))
+            g = _gumbels(upto[:-1] + self.l.rest(path[i:j]), top, self._uniform(n, np.arange(i, j)))
             self.open.append([g, n, i])
-            top_few = np.sort(np.concatenate([top_few, g if len(g) <= self.pops else np.partition(g, -self.pops)[-self.pops :]]))[-self.pops :]
             before, i = float(upto[-1]), j
+            if i < len(path):
+                most = np.append(most, g if len(g) <= self.pops else np.partition(g, -self.pops)[-self.pops :])
+                line = np.partition(most, -self.pops)[-self.pops] if len(most) >= self.pops else -np.inf
 
     def _uniform(self, path: int, step: np.ndarray) -> np.ndarray:
         x = (self.key + (path + 1) * 0xA24BAED4963EE407) & (1 << 64) - 1
@@ -392,7 +414,7 @@ def _sampler(vocabulary: Vocabulary, samples: int):
         for batch in batches:
             seeds = tv.key_hash(batch["_key"].to_numpy(zero_copy_only=False), SEED)
             for i, j, raw, offs in tv.chunks(batch["text"]):
-                row, nth, logs, values, inclusion, ids, same = [], [], [], [], [], [], []
+                row, nth, logs, values, inclusion, ids = [], [], [], [], [], []
                 spaced, edge = _spaced(raw, offs)
                 for d, (found, line) in enumerate(sample(trie, vocabulary.bytes_at, raw, offs, seeds[i:j], samples)):
                     for n, (pieces, lp, g) in enumerate(found):
@@ -402,8 +424,10 @@ def _sampler(vocabulary: Vocabulary, samples: int):
                         values.append(g)
                         inclusion.append(_inclusion(lp, line) if line > -np.inf else 0.0)
                         ids.append(pieces)
-                        same.append(np.array_equal(vocabulary.spelt(pieces), spaced[edge[d] : edge[d + 1]]))
-                lists = pa.ListArray.from_arrays(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32), pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32()))
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+                ends = np.cumsum([len(x) for x in ids], dtype=np.int64)
+                same = vocabulary.spell_out(flat, ends, spaced, edge, np.array(row, np.int64) - i)
+                lists = pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), pa.array(flat.astype(np.int32), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row, pa.int64())), pa.array(nth, pa.int32()), pa.array(logs, pa.float64()), pa.array(values, pa.float64()), pa.array(inclusion, pa.float64()), lists, pa.array(same, pa.bool_())], ["doc_id", "sample", "log_prob", "perturbed", "log_inclusion", "pieces", "decodes"])
 
     return run
