@@ -256,7 +256,7 @@ def nearest(vectors: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, least_
     Neighbours are ordered by distance rounded to 9 digits, then by id; distance is given to 6. Where there are k others
     or fewer, all are. Rows of a null vec_id, and embeddings that are null, empty, or hold nulls, NaN or infinities, take
     no part, nor do those of another length than the most common one (of several, the longest). Of rows of one vec_id the
-    least embedding counts. Other columns play no part. An empty table gives no rows.
+    least embedding counts. vec_id is a whole number. Other columns play no part. An empty table gives no rows.
     """
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     kind = kind if kind in ("float", "double") else "double"
