@@ -9,26 +9,29 @@ has any of these tokens, since each of them alone makes a rule of the same pages
 matched by an inverted index: a rule is listed under its rarest item, and a URL's items look up the rules whose other
 items it has too.
 
-Combinations grow with the power of a URL's items, so three things keep the mining small. An item that only bad pages
-have is a rule of confidence 1 and isn't mined further, as that rule implies all longer ones. Rules of one and of two
-items are counted directly, all of them. FP-growth mines the longer ones from the other items of a URL, or from the
-``WIDTH`` among them with the greatest share of bad pages (then by name) where there are more. So nothing is lost where
-URLs have up to ``WIDTH`` such items; where they have more, a rule of three or more items is found only if enough bad
-pages have it within these. Every rule found is counted over whole URLs.
+All rules are found, of any number of items and in URLs of any length. Patterns grow by FP-growth's conditional tables: the
+rows of an item, bad and good, cut to the items that more pages have, go to one task, which adds items one by one (tables
+of more than ``GROUP_ROWS`` distinct rows are split by the next item first). Combinations grow with the power of a URL's
+items, so only what a shorter rule would imply anyway is left out: an item that only bad pages have, or a combination that
+no good page has, isn't grown further, as its confidence is 1; nor is a combination that holds for the same good pages as a
+part of it, as the part is as sure; nor one whose longer ones can't be surer than a rule found in it, counting those good
+pages that have all that might be added. What is left is at worst still exponential, as the rules themselves may be.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.spread import repeated
 from tessera.sources.tables import cut
 
 #: Least share of the bad pages, and least number of them, that a rule must hold for; least share of bad among its pages.
 SUPPORT, COUNT, CONFIDENCE = 0.001, 5, 0.6
-#: Items of a URL that FP-growth combines: 2 ** WIDTH combinations a URL at most.
-WIDTH = 8
+#: Distinct rows of a conditional table that one task takes; larger ones are split by the next item.
+GROUP_ROWS = 4096
 #: Rules up to which their index is sent to all executors; beyond it the match shuffles.
 SENT_RULES = 20_000
 
@@ -65,7 +68,115 @@ def named(sets: DataFrame, member: DataFrame) -> DataFrame:
     return own.groupBy("set_key").agg(F.collect_list("name").alias("tokens"), F.map_from_entries(F.collect_list(F.struct("name", "token"))).alias("least"))
 
 
-def mined(labelled: DataFrame, support: float = SUPPORT, count: int = COUNT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame, bool]:
+class Grower:
+    """Rules that begin with some items, from the rows that have these: has tells which further items each row has, bad and
+    good how often it occurs. single holds the confidence of each further item alone, 0 where it is no rule."""
+
+    def __init__(self, has: np.ndarray, bad: np.ndarray, good: np.ndarray, single: np.ndarray, least: float, confidence: float):
+        self.has, self.bad, self.good, self.single = has, bad.astype(np.float64), good.astype(np.float64), single
+        self.least, self.confidence = least, confidence
+        self.found: list[tuple[tuple[int, ...], int, int]] = []
+
+    def grow(self, surest: float) -> list[tuple[tuple[int, ...], int, int]]:
+        """(further items, bad, all) of the rules; surest is the confidence of the surest one of the first items."""
+        stack = [self._longer((), np.arange(len(self.bad)), np.arange(self.has.shape[1]), [], surest)]
+        while stack:
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+            else:
+                stack.append(self._longer(*child))
+        return self.found
+
+    def _longer(self, items: tuple[int, ...], rows: np.ndarray, more: np.ndarray, without: list[np.ndarray], surest: float) -> Iterator[tuple]:
+        """Adds each of more to items, which rows have; gives those to be grown further. without: of each of items, the
+        good rows that have all but it; where none of them has an added item, the rule without it is as sure or surer."""
+        x = self.has[np.ix_(rows, more)]
+        n_bad, n_good = self.bad[rows] @ x, self.good[rows] @ x
+        keep = (n_bad >= self.least) & (n_good < self.good[rows].sum())
+        for r in without:
+            keep &= self.has[np.ix_(r, more)].any(0)
+        more, x, n_bad, n_good = more[keep], x[:, keep], n_bad[keep], n_good[keep]
+        if not len(more):
+            return
+        sure, top = n_bad / (n_bad + n_good), np.maximum(surest, self.single[more])
+        rule = (sure >= self.confidence) & (sure > top)
+        self.found += [((*items, int(more[j])), int(n_bad[j]), int(n_bad[j] + n_good[j])) for j in np.flatnonzero(rule)]
+        top = np.where(rule, sure, top)
+        # good rows that have an item and all after it stay, whatever is added
+        stay = self.good[rows] @ np.logical_and.accumulate(x[:, ::-1], axis=1)[:, ::-1]
+        bound = n_bad / (n_bad + stay)
+        for j in np.flatnonzero((n_good > 0) & (bound > top) & (bound >= self.confidence)):
+            if j + 1 < len(more):
+                mine = x[:, j]
+                yield (*items, int(more[j])), rows[mine], more[j + 1 :], [*(r[self.has[r, more[j]]] for r in without), rows[~mine & (self.good[rows] > 0)]], float(top[j])
+
+
+_ITEM = "struct<df: bigint, name: string, bad_df: bigint>"
+
+
+def _grown(least: float, confidence: float):
+    """Rules of a conditional table, rows (prefix, items, bad, good) of one prefix."""
+
+    def sure(bad: np.ndarray | int, n: np.ndarray | int) -> np.ndarray:
+        c = np.asarray(bad) / np.asarray(n)
+        return np.where(c >= confidence, c, 0.0)
+
+    def run(rows: pa.Table) -> pa.Table:
+        first = rows["prefix"][0].as_py()
+        bad, good = (rows[c].to_numpy() for c in ("bad", "good"))
+        lists = rows["items"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        of, flat = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+        df, bad_df = (flat.field(c).to_numpy() for c in ("df", "bad_df"))
+        names, at, which = np.unique(flat.field("name").to_numpy(zero_copy_only=False).astype(object), return_index=True, return_inverse=True)
+        often = np.flatnonzero(np.bincount(which, bad[of], len(names)) >= least)
+        often = often[np.lexsort((names[often], df[at[often]]))]
+        place = np.full(len(names), -1)
+        place[often] = np.arange(len(often))
+        has = np.zeros((len(lists), len(often)), bool)
+        here = place[which] >= 0
+        has[of[here], place[which[here]]] = True
+        surest = max(float(sure(x["bad_df"], x["df"])) for x in first)
+        found = []
+        n_bad, n_good = int(bad.sum()), int(good.sum())
+        if len(first) > 1 and (c := float(sure(n_bad, n_bad + n_good))) > surest:
+            surest = c
+            found.append(((), n_bad, n_bad + n_good))
+        if n_good:
+            found += Grower(has, bad, good, sure(bad_df[at[often]], df[at[often]]), least, confidence).grow(surest)
+        names, mine = names[often], [x["name"] for x in first]
+        return pa.table([pa.array([sorted([*mine, *(names[i] for i in t)]) for t, _, _ in found], pa.list_(pa.string())), pa.array([mine[0]] * len(found), pa.string()), pa.array([b for _, b, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int64())], ["rule", "entry", "n_bad", "n"])
+
+    return run
+
+
+def grown(sets: DataFrame, least: float, confidence: float, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Rules (rule, entry, n_bad, n) of two or more items from rows (items, bad, good), the items of falling df; without
+    those that a shorter rule implies, though not without all of them. entry is the rarest item."""
+    level = sets.withColumn("prefix", F.array().cast(f"array<{_ITEM}>"))
+    found = []
+    while True:
+        # the rows of each item, with the items before it
+        level = level.select("prefix", "bad", "good", F.posexplode("items").alias("i", "x"), "items").select(F.concat("prefix", F.array("x")).alias("prefix"), F.slice("items", F.lit(1), F.col("i")).alias("items"), "bad", "good")
+        level = cut(level.groupBy("prefix", "items").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+        sizes = cut(level.groupBy("prefix").agg(F.count(F.lit(1)).alias("rows"), F.sum("bad").alias("n_bad"), F.sum("good").alias("n_good")).filter(F.col("n_bad") >= least))
+        big = sizes.filter((F.col("rows") > group_rows) & (F.col("n_good") > 0))
+        more = not big.isEmpty()
+        small = level.join(sizes.filter((F.col("rows") <= group_rows) | (F.col("n_good") == 0)).select("prefix"), "prefix", "left_semi") if more else level.join(sizes.select("prefix"), "prefix", "left_semi")
+        found.append(cut(small.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "prefix").groupBy("prefix").applyInArrow(_grown(least, confidence), "rule array<string>, entry string, n_bad long, n long")))
+        if not more:
+            break
+        whole = big.filter("size(prefix) > 1").select(F.array_sort("prefix.name").alias("rule"), F.col("prefix")[0]["name"].alias("entry"), "n_bad", (F.col("n_bad") + F.col("n_good")).alias("n"))
+        found.append(whole.filter(F.col("n_bad") / F.col("n") >= confidence))
+        level = level.join(big.select("prefix"), "prefix", "left_semi")
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def mined(labelled: DataFrame, support: float = SUPPORT, count: int = COUNT, confidence: float = CONFIDENCE, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, bool]:
     """Rules (rule_key, rule, entry, n_bad, n, confidence) of items from rows (tokens, bad), the tokens (token, name) of
     their items, and true if both are few enough to send."""
     rows = cut(labelled.groupBy("tokens", "bad").count().withColumn("set_key", _key(F.col("tokens"))))
@@ -77,29 +188,13 @@ def mined(labelled: DataFrame, support: float = SUPPORT, count: int = COUNT, con
     by = by.filter(F.col("bad_df") >= least)
     classes = cut(by.groupBy("df", "x", "y").agg(F.max("bad_df").alias("bad_df"), F.array_sort(F.collect_list("token")).alias("members")).withColumn("name", F.col("members")[0]))
     member = classes.select("name", F.explode("members").alias("token"))
-    # each set of frequent items among the bad, as often as it occurs, the surest items first
-    item = classes.select("name", "df", "bad_df", F.col("name").alias("token"))
-    place = F.struct((-F.col("bad_df") / F.col("df")).alias("a"), "name")
-    sets = each.filter("bad").join(item.filter("bad_df < df"), "token").groupBy("set_key").agg(F.max("count").alias("count"), F.array_sort(F.collect_list(place))["name"].alias("items"))
-    sets = cut(sets)
-    pair = sets.select("count", F.posexplode("items").alias("i", "x"), "items").select("count", "x", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("y"))
-    pairs = pair.groupBy("x", "y").agg(F.sum("count").alias("n_bad")).filter(F.col("n_bad") >= least).select("n_bad", F.array("x", "y").alias("items"))
-    many = sets.filter("size(items) > 2").select("count", F.slice("items", 1, WIDTH).alias("items"))
-    n_many, most = many.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).head()
-    singles = item.select(F.col("bad_df").alias("n_bad"), F.array("name").alias("items"))
-    found = singles.unionByName(pairs)
-    if n_many >= least:
-        longer = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_many), minConfidence=1.0).fit(repeated(many, F.col("count"), most).select("items")).freqItemsets
-        found = found.unionByName(longer.filter("size(items) > 2").select(F.col("freq").alias("n_bad"), "items"))
-    of = cut(found.select(F.array_sort("items").alias("rule")))
-    of = of.withColumn("rule_key", _key(F.col("rule")))
-    whole = of.withColumn("name", F.explode("rule")).join(item.select("name", "df"), "name").groupBy("rule_key", "rule").agg(F.min(F.struct("df", "name"))["name"].alias("entry"))
-    whole = cut(whole)
-    few = whole.count() <= SENT_RULES
-    held = matches(whole, named(rows.select("set_key", "tokens").distinct(), member), few)
-    sizes = rows.groupBy("set_key").agg(F.sum("count").alias("count"), F.sum(F.when(F.col("bad"), F.col("count")).otherwise(0)).alias("bad"))
-    counted = held.join(sizes, "set_key").groupBy("rule_key").agg(F.sum("bad").alias("n_bad"), F.sum("count").alias("n"))
-    sure = cut(whole.join(counted, "rule_key").withColumn("confidence", F.col("n_bad") / F.col("n")).filter(F.col("confidence") >= confidence))
+    # each set of frequent items, as often as it occurs among the bad and the good, the most frequent items first
+    item = classes.filter("bad_df < df").select("name", F.struct("df", "name", "bad_df").alias("item"))
+    sets = each.join(item, F.col("token") == F.col("name")).groupBy("set_key", "bad").agg(F.max("count").alias("count"), F.reverse(F.array_sort(F.collect_list("item"))).alias("items"))
+    sets = sets.groupBy("items").agg(F.sum(F.when(F.col("bad"), F.col("count")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("count"))).alias("good"))
+    singles = classes.select(F.array("name").alias("rule"), F.col("name").alias("entry"), F.col("bad_df").alias("n_bad"), F.col("df").alias("n"))
+    found = singles.filter(F.col("n_bad") / F.col("n") >= confidence).unionByName(grown(sets, least, confidence, group_rows))
+    sure = cut(found.withColumn("confidence", F.col("n_bad") / F.col("n")).withColumn("rule_key", _key(F.col("rule"))))
     few = sure.count() <= SENT_RULES
     inside = matches(sure.select("rule_key", "rule", "entry"), sure.select(F.col("rule_key").alias("set_key"), F.col("rule").alias("tokens")), few).filter("set_key <> rule_key")
     implied = inside.join(sure.select("rule_key", F.col("confidence").alias("theirs")), "rule_key").join(sure.select(F.col("rule_key").alias("set_key"), "confidence"), "set_key").filter("theirs >= confidence").select(F.col("set_key").alias("rule_key")).distinct()

@@ -4,7 +4,7 @@ import random
 import time
 from itertools import combinations
 
-from tessera.llm.url_rules import judged, tokens
+from tessera.llm.url_rules import GROUP_ROWS, judged, mined, tokens
 
 PAGES, LABELS = "page_id long, url string, html string", "doc_id long, quality int, toxic int"
 
@@ -133,3 +133,26 @@ def test_dissimilar_long_urls_against_brute_force(spark):
         if not got[i].keep:
             s = hold(got[i].rule.split(" + "))
             assert i in s and len(s & bad) >= 8 and abs(len(s & bad) / len(s) - got[i].confidence) < 1e-6 and got[i].confidence >= 0.9
+
+
+def test_long_rules_of_wide_urls_against_brute_force(spark):
+    """All rules of any length, in URLs of more items than eight that good pages have too; the same where tables are split."""
+    rng, pool = random.Random(9), [f"w{k}" for k in range(13)]
+    urls = []
+    for i in range(120):
+        words = set(rng.sample(pool, 11)) - ({rng.choice(["w9", "w10", "w11", "w12"])} if i % 3 else set())
+        urls.append((f"http://x.net/{'/'.join(sorted(words))}", int(not ({"w9", "w10", "w11", "w12"} <= words or rng.random() < 0.15))))
+    p = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    toks = {r.page_id: set(r.t) for r in p.select("page_id", tokens(p.url).alias("t")).collect()}
+    bad = {i for i, (_, q) in enumerate(urls) if not q}
+    sure = brute(toks, bad, 5, 0.8)
+    want = {c: v for c, v in sure.items() if not any(sure.get(d, (0, 0))[0] >= v[0] for k in range(1, len(c)) for d in combinations(c, k))}
+    assert max(map(len, want)) > 3
+    labelled = spark.createDataFrame([(sorted(t), i in bad) for i, t in toks.items()], "tokens array<string>, bad boolean")
+    for rows in (GROUP_ROWS, 20):
+        rules, member, _ = mined(labelled, 0.0, 5, 0.8, rows)
+        alike = {}
+        for m in member.collect():
+            alike.setdefault(m.name, []).append(m.token)
+        assert all(len(v) == 1 for v in alike.values())
+        assert {tuple(r.rule): (r.confidence, r.n_bad) for r in rules.collect()} == want
