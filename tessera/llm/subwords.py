@@ -61,8 +61,10 @@ class Vocabulary:
     def spelt(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of some pieces, put together."""
         lens = self.lens[ids]
-        at = np.repeat(self.starts[ids] - (np.cumsum(lens) - lens), lens)
-        at += np.arange(len(at))
+        ends = np.cumsum(lens)
+        kind = np.int64 if len(ends) and ends[-1] + len(self.flat) >= 1 << 31 else np.int32
+        at = np.repeat((self.starts[ids] - (ends - lens)).astype(kind), lens)
+        at += np.arange(len(at), dtype=kind)
         return self.flat[at]
 
 
@@ -73,9 +75,11 @@ class Vocabulary:
         good = size == offs[text + 1] - first
         spelt = self.spelt(flat)
         if good.all():
-            there = np.repeat(first - upto[:-1], size)
-            there += np.arange(len(there))
-            wrong = np.append(0, np.cumsum(spelt != raw[there]))
+            there = [raw[a:b] for a, b in zip(first.tolist(), (first + size).tolist())]
+            wrong = spelt != (np.concatenate(there) if there else spelt)
+            if not wrong.any():
+                return good
+            wrong = np.append(0, np.cumsum(wrong))
             return wrong[upto[1:]] == wrong[upto[:-1]]
         return np.array([bool(g) and np.array_equal(spelt[a:b], raw[x : x + b - a]) for g, a, b, x in zip(good, upto[:-1], upto[1:], first)])
 
@@ -199,7 +203,8 @@ class Lattice:
     def rest(self, edges: np.ndarray) -> np.ndarray:
         """Log of what the other edges at the places of some have together."""
         with np.errstate(divide="ignore"):
-            return np.where(self.count[self.place[edges]] > 1, np.log(np.maximum(1 - self.prob[edges], 0)), -np.inf)
+            # the only edge at a place has cond 0, so prob is exactly 1
+            return np.log(np.maximum(1 - self.prob[edges], 0))
 
     def descend(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A sampled path from each place at (-1: none): (edges, lane by lane; edges of each lane)."""

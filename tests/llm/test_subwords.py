@@ -76,3 +76,13 @@ def test_round_trip_and_odd_rows(spark):
     assert sampled(df.limit(0)).count() == 0
     odd = decoded(spark.createDataFrame([([-1, 99_999_999, None, 0, 3],), (None,), ([],)], "pieces array<int>"))
     assert [r.text for r in odd.collect()] == ["\x00", None, ""]
+
+
+def test_spelling_is_compared_byte_for_byte():
+    raw, offs = np.frombuffer(b" ab cd", np.uint8), np.array([0, 3, 6])
+    ids = lambda text: [V.bytes_at + b for b in text]
+    for first, second in ((b" ab", b" cd"), (b" ab", b" ce"), (b" ax", b" cd"), (b" a", b" cd")):
+        flat = np.array(ids(first) + ids(second) + ids(b" ab"))
+        got = V.spell_out(flat, np.cumsum([len(first), len(second), 3]), raw, offs, np.array([0, 1, 0]))
+        assert got.tolist() == [first == b" ab", second == b" cd", True]
+    assert V.spell_out(np.zeros(0, np.int64), np.zeros(0, np.int64), raw, offs, np.zeros(0, np.int64)).tolist() == []
