@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,31 +26,47 @@ ERROR = "message string, ord int"
 KINDS = {"metrics": METRIC, "imports": IMPORT, "callables": CALLABLE, "classes": CLASS, "clones": CLONE, "errors": ERROR}
 
 
-def _runner(runners: dict):
+#: Files after which a task passes on their rows, so that it holds those of no more.
+CHUNK = 200
+
+
+def _runner(runners: dict, only: dict | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, texts, tests, langs = (batch[c].to_pylist() for c in ("path", "content", "_test", "language"))
-            out: list[tuple] = []
-            for path, text, test, lang in zip(paths, texts, tests, langs):
-                if text is None:
-                    out.append((path, lang, "errors", json.dumps({"message": "the file can't be read as text", "ord": 0})))
-                    continue
-                out += [(path, lang, kind, json.dumps(r)) for kind, each in plugins.analyse(runners, lang, text, test).items() for r in each]
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "language", "kind_of_row", "payload"])
+        # trees of files are many objects and short-lived: what stands is left out when Python looks for cycles
+        gc.collect()
+        gc.freeze()
+        for whole in batches:
+            for at in range(0, max(whole.num_rows, 1), CHUNK):
+                batch = whole.slice(at, CHUNK)
+                paths, texts, tests, langs = (batch[c].to_pylist() for c in ("path", "content", "_test", "language"))
+                out: list[tuple] = []
+                for path, text, test, lang in zip(paths, texts, tests, langs):
+                    if text is None:
+                        if only is None or "errors" in only:
+                            out.append((path, lang, "errors", json.dumps({"message": "the file can't be read as text", "ord": 0})))
+                        continue
+                    out += [(path, lang, kind, json.dumps(r)) for kind, each in plugins.analyse(runners, lang, text, test, only).items() for r in each]
+                columns = list(zip(*out)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["path", "language", "kind_of_row", "payload"])
 
     return run
 
 
-def extracted(files: DataFrame, runners: dict | None = None) -> DataFrame:
+def spread(files: DataFrame, *by: str) -> DataFrame:
+    """files, spread over tasks by count and not by bytes, as work on them outweighs their reading by far."""
+    spark = files.sparkSession
+    return files.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def extracted(files: DataFrame, runners: dict | None = None, only: Mapping[str, Sequence[str] | None] | None = None) -> DataFrame:
     """(path, language, kind_of_row, payload) of files (path, content): rows of every kind, as JSON. Files in languages
     that aren't known are left out before anything is parsed. A content of null is an error row; a repeated row of a
-    file gives its rows again, so drop those first. runners are by language, plugins.RUNNERS by default."""
+    file gives its rows again, so drop those first. runners are by language, plugins.RUNNERS by default. With only, every
+    file is still parsed, but nothing found in it beyond those kinds of rows (and of metrics those names, None: all)."""
     known = files.select("path", "content").withColumn("language", language(F.col("path"))).filter("language <> 'unknown'").withColumn("_test", is_test(F.col("path")))
-    spark = files.sparkSession
-    # parsing outweighs reading by far, so files are spread by count and not by bytes
-    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return known.repartition(tasks, "path").mapInArrow(_runner(plugins.RUNNERS if runners is None else runners), "path string, language string, kind_of_row string, payload string")
+    if only is not None:
+        only = {kind: None if names is None else frozenset(names) for kind, names in only.items()}
+    return spread(known, "path").mapInArrow(_runner(plugins.RUNNERS if runners is None else runners, only), "path string, language string, kind_of_row string, payload string")
 
 
 def rows(found: DataFrame, kind: str) -> DataFrame:
@@ -64,14 +81,16 @@ def reported_errors(found: DataFrame) -> DataFrame:
 
 
 class Extract:
-    """All tables of some files. The extraction runs once; what is derived reads the table that it wrote. With a cache,
-    a folder of earlier results by content, only files are parsed that it doesn't have; parsed is their number."""
+    """All tables of some files, or those that only asks for. The extraction runs once; what is derived reads the table
+    that it wrote. With a cache, a folder of earlier results by content, only files are parsed that it doesn't have; parsed
+    is their number, and all of their tables are found."""
 
-    def __init__(self, files: DataFrame, keep: bool = True, folder: str | None = None, runners: dict | None = None, fingerprint: str = FINGERPRINT):
+    def __init__(self, files: DataFrame, keep: bool = True, folder: str | None = None, runners: dict | None = None, fingerprint: str = FINGERPRINT, only: Mapping[str, Sequence[str] | None] | None = None):
         self.files = files.withColumn("language", language(F.col("path"))).filter("language <> 'unknown'")
         self.parsed: int | None = None
+        self.only = None if folder is not None else only
         if folder is None:
-            self.all = cut(extracted(files, runners)) if keep else extracted(files, runners)
+            self.all = cut(extracted(files, runners, only)) if keep else extracted(files, runners, only)
             return
         # what is found in a file depends on whether it is a test, too
         kind = F.concat("language", F.when(is_test(F.col("path")), "|test").otherwise(""))
@@ -93,4 +112,6 @@ class Extract:
     def __getattr__(self, kind: str) -> DataFrame:
         if kind not in KINDS:
             raise AttributeError(kind)
+        if self.only is not None and kind not in self.only:
+            raise LookupError(f"{kind} weren't asked for")
         return rows(self.all, kind)

@@ -21,12 +21,13 @@ SCHEMA_VERSION = 2
 class Project:
     """Tables over the files (path, content) of one project; each is computed when asked for, the extraction once."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, settings: dict | None = None, vocabulary: DataFrame | None = None, root: str = "", cache: str | None = None, runners: dict | None = None, derivers: list | None = None):
+    def __init__(self, spark: SparkSession, files: DataFrame, settings: dict | None = None, vocabulary: DataFrame | None = None, root: str = "", cache: str | None = None, runners: dict | None = None, derivers: list | None = None, only: dict | None = None):
         """vocabulary: words (word and, where it has one, role); the words of the project's modules and classes and those
         that the settings allow are added. cache: a folder of earlier results by content. runners: analysers by language.
-        derivers: functions of a project that give (subject, metric, value, message); DERIVERS where None."""
+        derivers: functions of a project that give (subject, metric, value, message); DERIVERS where None. only: the kinds
+        of rows (see extract.extracted) that are asked for, where not all are; a table of another kind is an error."""
         self.spark, self.settings, self.root = spark, settings or {}, root
-        self.extract = Extract(files.dropDuplicates(["path"]), folder=cache, runners=runners)
+        self.extract = Extract(files.dropDuplicates(["path"]), folder=cache, runners=runners, only=only)
         self.files = self.extract.files
         self.words = vocabulary if vocabulary is not None else spark.createDataFrame([], "word string, role string")
         self.derivers = DERIVERS if derivers is None else derivers
