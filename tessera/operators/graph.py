@@ -107,8 +107,8 @@ def strong_components(edges: DataFrame, a: str = "source", b: str = "target", ta
         nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
         color = cut(nodes.withColumn("c", F.col("node")))
         while True:
-            over = e.join(color, e["u"] == color["node"]).groupBy("v").agg(F.max("c").alias("o"))
-            now = cut(color.join(over, color["node"] == over["v"], "left").select("node", F.greatest("c", "o").alias("n"), "c"))
+            over = e.join(color.hint("merge"), e["u"] == color["node"]).groupBy("v").agg(F.max("c").alias("o"))
+            now = cut(color.join(over.hint("merge"), color["node"] == over["v"], "left").select("node", F.greatest("c", "o").alias("n"), "c"))
             color, changed = now.select("node", F.col("n").alias("c")), not now.filter("n <> c").isEmpty()
             if not changed:
                 break
@@ -117,8 +117,8 @@ def strong_components(edges: DataFrame, a: str = "source", b: str = "target", ta
         front = color.filter("node = c")
         reached = cut(front)
         while not front.isEmpty():
-            back = same.join(front, (same["v"] == front["node"]) & (same["cu"] == front["c"])).select(F.col("u").alias("node"), F.col("cu").alias("c")).distinct()
-            front = cut(back.join(reached, ["node", "c"], "left_anti"))
+            back = same.join(front.hint("merge"), (same["v"] == front["node"]) & (same["cu"] == front["c"])).select(F.col("u").alias("node"), F.col("cu").alias("c")).distinct()
+            front = cut(back.join(reached.hint("merge"), ["node", "c"], "left_anti"))
             reached = cut(reached.unionByName(front))
         groups = reached.groupBy("c").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         part = cut(reached.join(groups, "c").select("component", "node"))
@@ -133,7 +133,7 @@ def _trimmed(e: DataFrame) -> DataFrame:
     n = e.count()
     while n:
         both = e.select(F.col("v").alias("u")).distinct()
-        e = cut(e.join(both, "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"))
+        e = cut(e.join(both.hint("merge"), "u", "left_semi").join(e.select(F.col("u").alias("v")).distinct().hint("merge"), "v", "left_semi").select("u", "v"))
         n, before = e.count(), n
         if n == before:
             break
@@ -148,19 +148,20 @@ def cycles(components: DataFrame) -> DataFrame:
 def depths(bases: DataFrame) -> DataFrame:
     """(node, depth, flagged) of each node of an inheritance table (node, base, known): 1 without bases, else one more
     than the deepest base. A base that isn't known counts as 1 and flags the node, as does one that is inherited from so;
-    a node on a cycle of bases has depth 1 and a flag. There are as many rounds as the longest chain has nodes."""
+    a node on a cycle of bases has depth 1 and a flag. Joins are by sorting, so that no round sends a table by way of the
+    driver. There are as many rounds as the longest chain has nodes."""
     rows = cut(bases.select("node", "base", "known").distinct())
     up = rows.filter("known AND base IS NOT NULL").select(F.col("node").alias("below"), F.col("base").alias("above"))
     loops = strong_components(up, "below", "above").select("node").unionByName(up.filter("below = above").select(F.col("below").alias("node")))
     loops = cut(loops.distinct().withColumn("cyclic", F.lit(True)))
     outside = F.max(F.coalesce(~F.col("known") & F.col("base").isNotNull(), F.lit(False))).alias("outside")
-    now = rows.groupBy("node").agg(outside).join(loops, "node", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
+    now = rows.groupBy("node").agg(outside).join(loops.hint("merge"), "node", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(False)))
     now = cut(now.select("node", F.when(F.col("outside") & ~F.col("cyclic"), 2).otherwise(1).alias("depth"), (F.col("outside") | F.col("cyclic")).alias("flagged")))
-    up = cut(up.join(loops.withColumnRenamed("node", "below"), "below", "left_anti").select("below", "above"))
+    up = cut(up.join(loops.withColumnRenamed("node", "below").hint("merge"), "below", "left_anti").select("below", "above"))
     front = now
     while not front.isEmpty():
-        more = up.join(front, up["above"] == front["node"]).groupBy(F.col("below").alias("node")).agg((F.max("depth") + 1).alias("d"), F.max("flagged").alias("f"))
-        both = cut(now.join(more, "node", "left").select("node", "depth", "flagged", F.greatest("depth", "d").alias("d"), (F.col("flagged") | F.coalesce("f", F.lit(False))).alias("f")))
+        more = up.join(front.hint("merge"), up["above"] == front["node"]).groupBy(F.col("below").alias("node")).agg((F.max("depth") + 1).alias("d"), F.max("flagged").alias("f"))
+        both = cut(now.join(more.hint("merge"), "node", "left").select("node", "depth", "flagged", F.greatest("depth", "d").alias("d"), (F.col("flagged") | F.coalesce("f", F.lit(False))).alias("f")))
         front = both.filter("d <> depth OR f <> flagged").select("node", F.col("d").alias("depth"), F.col("f").alias("flagged"))
         now = both.select("node", F.col("d").alias("depth"), F.col("f").alias("flagged"))
     return now
