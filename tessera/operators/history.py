@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.paths import is_test
-from tessera.sources.tables import cut
+from tessera.sources.tables import by_rows, cut
 
 SUPPORT = 3
 
@@ -28,12 +28,14 @@ def change_coupling(numstat: DataFrame, least: int = SUPPORT, key: str = "path")
     """(a, b, support, confidence): pairs of paths that change in the same commits, at least so often; confidence is by
     the path that changes less. Commits are joined with themselves, so one of n paths gives n (n - 1) / 2 pairs; paths of
     fewer than ``least`` commits can't be in a pair and are left out first."""
-    touched = numstat.select("commit", F.col(key).alias("path")).filter("path IS NOT NULL").distinct()
+    touched = by_rows(numstat.select("commit", F.col(key).alias("path")).filter("path IS NOT NULL"), "commit", "path").distinct()
     often = touched.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     # a table of its own, so that both sides are plain shuffles and the join can split a commit of many paths
-    live = cut(touched.join(often, "path").select("commit", "path", "n"))
+    live = cut(by_rows(cut(touched.join(often, "path").select("commit", "path", "n")), "commit"))
     a, b = live.select("commit", F.col("path").alias("a"), F.col("n").alias("na")), live.select("commit", F.col("path").alias("b"), F.col("n").alias("nb"))
-    pairs = a.hint("merge").join(b, "commit").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
+    # hardly any pair occurs twice in a task, so they are spread by pair before they are counted
+    pairs = by_rows(cut(a.hint("merge").join(b, "commit").filter("a < b").select("a", "b", "na", "nb")), "a", "b")
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
     return pairs.select("a", "b", "support", (F.col("support") / F.least("na", "nb")).alias("confidence"))
 
 

@@ -31,3 +31,17 @@ def test_rounds_of_depths_send_nothing_by_the_driver(spark, monkeypatch):
     got = {r.node: r.depth for r in graph.depths(spark.createDataFrame(rows, "node long, base long, known boolean")).collect()}
     assert got[39] == 5 and got[50] == 1
     assert any("SortMergeJoin" in p for p in seen) and not any("BroadcastHashJoin" in p for p in seen)
+
+
+def test_pairs_of_paths_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    rng = random.Random(2)
+    cells = sorted({(rng.randrange(60), rng.randrange(25)) for _ in range(500)})
+    df = history.change_coupling(spark.createDataFrame([(c, c, 1, 0, p) for c, p in cells], "commit long, seq long, added long, deleted long, path long"), 2)
+    parts = [int(n) for n in re.findall(r"hashpartitioning\(a#[^)]*, (\d+)\)", plan(df))]
+    assert parts and min(parts) > 20
+    by = {}
+    for c, p in cells:
+        by.setdefault(p, set()).add(c)
+    want = {(a, b): len(by[a] & by[b]) for a in by for b in by if a < b and len(by[a] & by[b]) >= 2}
+    assert {(r.a, r.b): r.support for r in df.collect()} == want
