@@ -6,6 +6,7 @@ numstat: commit, seq, added long, deleted long, path. coverage: test, file, line
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions.paths import is_test
 from tessera.sources.tables import by_rows, cut
@@ -55,10 +56,11 @@ def suite_health(numstat: DataFrame, test: Column | None = None) -> DataFrame:
 
 def unique_coverage(coverage: DataFrame) -> DataFrame:
     """(test, lines, unique_lines, ratio): lines that each test covers, and those that no other does."""
-    cells = coverage.select("test", "file", "line").distinct()
-    alone = cells.groupBy("file", "line").agg(F.count(F.lit(1)).alias("n"), F.min("test").alias("test")).filter("n = 1").groupBy("test").agg(F.count(F.lit(1)).alias("unique_lines"))
-    lines = cells.groupBy("test").agg(F.count(F.lit(1)).alias("lines"))
-    return lines.join(alone, "test", "left").na.fill(0, ["unique_lines"]).withColumn("ratio", F.col("unique_lines") / F.col("lines"))
+    # by line, so that its tests are seen together; what is left by test is small
+    cells = by_rows(coverage.select("test", "file", "line"), "file", "line").distinct()
+    alone = F.count(F.lit(1)).over(Window.partitionBy("file", "line")) == 1
+    by = cells.withColumn("alone", alone).groupBy("test").agg(F.count(F.lit(1)).alias("lines"), F.count_if("alone").alias("unique_lines"))
+    return by.withColumn("ratio", F.col("unique_lines") / F.col("lines"))
 
 
 def blast_radius(coverage: DataFrame) -> DataFrame:

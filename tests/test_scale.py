@@ -45,3 +45,12 @@ def test_pairs_of_paths_are_spread_by_their_number(spark, monkeypatch):
         by.setdefault(p, set()).add(c)
     want = {(a, b): len(by[a] & by[b]) for a in by for b in by if a < b and len(by[a] & by[b]) >= 2}
     assert {(r.a, r.b): r.support for r in df.collect()} == want
+
+
+def test_covered_lines_are_spread_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 50)
+    rows = [(k % 7, k % 3, k % 40) for k in range(2000)] + [(9, 9, 9)]
+    df = history.unique_coverage(spark.createDataFrame(rows, "test long, file long, line long"))
+    assert re.search(r"hashpartitioning\(file#[^)]*line#[^)]*, 41\)", plan(df)) and plan(df).count("Exchange") <= 4
+    got = {r.test: (r["lines"], r.unique_lines) for r in df.collect()}
+    assert got[9] == (1, 1) and got[0] == (len({r for r in rows if r[0] == 0}), 0)
