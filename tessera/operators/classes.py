@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.operators.graph import cohesion, depths
 from tessera.operators.imports import first
+from tessera.sources.tables import cut, joined
 
 
 def single_responsibility(lcom: Column, weighted: Column, statements: Column) -> Column:
@@ -37,9 +38,13 @@ def resolved_bases(classes: DataFrame, bound: DataFrame) -> DataFrame:
     each = each.join(here, ["module", "base"], "left")
     each = each.withColumn("head", F.substring_index("base", ".", 1)).join(bound.withColumnsRenamed({"bound": "head"}), ["module", "head"], "left")
     each = each.withColumn("wanted", F.substring_index("base", ".", -1)).withColumn("from", F.regexp_replace(F.regexp_replace("target", r"^\.+", ""), r"\.[^.]*$", ""))
-    there = one.select(F.col("name").alias("wanted"), F.col("module").alias("at"), F.col("node").alias("other"), F.col("ord").alias("o"))
-    match = (F.col("at") == F.col("from")) | F.col("at").endswith(F.concat(F.lit("."), F.col("from")))
-    found = first(each.filter("own IS NULL AND from IS NOT NULL").join(there, "wanted").filter(match), ["node", "raw"], ["at", "o"]).select("node", "raw", "other")
+    each = cut(each)
+    # a module answers to its name and to what stands after each of its dots
+    parts = F.split("module", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
+    there = one.select(F.col("name").alias("wanted"), F.explode(ends).alias("from"), F.col("module").alias("at"), F.col("node").alias("other"), F.col("ord").alias("o"))
+    far = joined(each.filter("own IS NULL AND from IS NOT NULL").select("node", "raw", "wanted", "from"), there, ["wanted", "from"])
+    found = first(far, ["node", "raw"], ["at", "o"]).select("node", "raw", "other")
     out = each.join(found, ["node", "raw"], "left").withColumn("to", F.coalesce("own", "other"))
     return out.select("node", F.coalesce("to", "base").alias("base"), F.col("to").isNotNull().alias("known")).distinct()
 

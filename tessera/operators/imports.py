@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.paths import package
+from tessera.sources.tables import cut, joined
 
 #: How much less stable than its source a target may be.
 TOLERANCE = 0.2
@@ -34,17 +35,18 @@ def resolve(imports: DataFrame, modules: DataFrame, root: str) -> DataFrame:
     parts that equal root are stripped only where nothing is found with them. Edges to a module itself or to a package
     that holds it are dropped.
     """
-    asked = imports.withColumn("_id", F.xxhash64("source", "prefix", "names"))
     plain = F.when(F.size("names") > 0, F.transform("names", lambda n: F.when(F.col("prefix") != "", F.concat("prefix", F.lit("."), n)).otherwise(n))).otherwise(F.array("prefix"))
-    each = asked.withColumn("wanted", F.explode(plain)).select("source", "wanted", F.col("prefix").alias("second")).filter("wanted <> ''").distinct()
-    tried = each.select("source", "wanted", F.posexplode(F.array("wanted", "second")).alias("turn", "name")).filter("name <> ''")
+    each = cut(imports.withColumn("wanted", F.explode(plain)).select("source", "wanted", F.col("prefix").alias("second")).filter("wanted <> ''").distinct())
+    # what is imported often is looked up once, and so are prefixes that many names share
+    tried = each.select("wanted", "second").distinct().select("wanted", "second", F.posexplode(F.array("wanted", "second")).alias("turn", "name")).filter("name <> ''")
     # how often the root's name leads decides how often it may be stripped
     lead = F.size(F.split(F.col("name"), r"\.")) - F.size(F.filter(F.split(F.regexp_replace("name", rf"^(?:{root.replace('.', chr(92) + '.')}\.)+", ""), r"\."), lambda x: F.lit(True)))
     cuts = tried.withColumn("strip", F.explode(F.sequence(F.lit(0), lead)))
     rest = F.array_join(F.slice(F.split("name", r"\."), F.col("strip") + 1, F.size(F.split("name", r"\."))), ".")
-    found = cuts.select("source", "wanted", "turn", "strip", F.posexplode(_prefixes(rest)).alias("short", "module")).join(modules.select("module").distinct(), "module")
-    best = found.groupBy("source", "wanted").agg(F.min_by("module", F.struct("turn", "strip", "short")).alias("target"))
-    return hygiene(best.select("source", "target").distinct())
+    prefixes = cut(cuts.select("wanted", "second", "turn", "strip", F.posexplode(_prefixes(rest)).alias("short", "module")))
+    found = joined(prefixes, modules.select("module").distinct(), ["module"])
+    best = cut(found.groupBy("wanted", "second").agg(F.min_by("module", F.struct("turn", "strip", "short")).alias("target")))
+    return hygiene(joined(each, best, ["wanted", "second"]).select("source", "target").distinct())
 
 
 def hygiene(edges: DataFrame) -> DataFrame:

@@ -22,6 +22,10 @@ ASKED = {
     "q_ast_files": {"metrics": ["lines_of_code", "logical_lines_of_code", "source_lines_of_code", "comment_lines", "blank_lines", "comment_density", "marker_density", "halstead_difficulty"]},
     "q_source_tests": {"metrics": ["assertions_per_test", "mock_call_assertions", "big_literal_assertions"]},
     "q_source_errors": {"callables": None, "errors": None},
+    "q_source_classes": {"metrics": ["coupling_between_objects", "cyclomatic_complexity"], "imports": None, "callables": None, "classes": None},
+    "q_source_edges": {"imports": None},
+    "q_source_narrative": {"callables": None, "classes": None},
+    "q_project_violations": {"metrics": ["cyclomatic_complexity"]},
 }
 
 

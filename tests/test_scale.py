@@ -54,3 +54,40 @@ def test_covered_lines_are_spread_by_their_number(spark, monkeypatch):
     assert re.search(r"hashpartitioning\(file#[^)]*line#[^)]*, 41\)", plan(df)) and plan(df).count("Exchange") <= 4
     got = {r.test: (r["lines"], r.unique_lines) for r in df.collect()}
     assert got[9] == (1, 1) and got[0] == (len({r for r in rows if r[0] == 0}), 0)
+
+
+def test_small_classes_are_solved_together(monkeypatch, spark):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    rows = [(k % 30, rng.choice("abcdef"), rng.randrange(9)) for k in range(150)]
+    df = spark.createDataFrame([*rows, (99, None, None)], "class long, method string, other long")
+    members, links = df.select("class", "method"), df.filter("method IS NOT NULL").select("class", "method", F.lit("f").alias("kind"), "other")
+    want = {99: 0}
+    for c in range(30):
+        groups = [({m}, {o}) for k, m, o in rows if k == c]
+        while hit := next(((a, b) for a in groups for b in groups if a is not b and (a[0] & b[0] or a[1] & b[1])), None):
+            groups = [g for g in groups if g is not hit[0] and g is not hit[1]] + [(hit[0][0] | hit[1][0], hit[0][1] | hit[1][1])]
+        want[c] = len(groups)
+    assert dict(map(tuple, graph.cohesion(members, links).collect())) == want
+    many = pa.table({"class": [1, 1, 2, None], "method": ["a", "b", "a", "a"], "kind": ["f", "f", None, None], "other": ["x", "x", None, None], "_at": [1, 1, 2, 3]})
+    assert graph._cohesive(many).to_pydict() == {"class": [1, 2, None], "lcom": [1, 1, 1]}
+
+
+def test_keys_of_many_rows_are_joined_alike(spark, monkeypatch):
+    monkeypatch.setattr(tables, "MANY_ROWS", 3)
+    a = spark.createDataFrame([(k % 4 if k < 20 else k, k) for k in range(40)], "k long, v long")
+    b = spark.createDataFrame([(k, s) for k in range(2, 30) for s in "xy"], "k long, w string")
+    out = tables.joined(a, b, ["k"])
+    assert "BroadcastHashJoin" in plan(out) and "Union" in plan(out)
+    assert sorted(map(tuple, out.select("k", "v", "w").collect())) == sorted(map(tuple, a.join(b, "k").select("k", "v", "w").collect()))
+
+
+def test_what_is_imported_often_is_looked_up_once(spark, monkeypatch):
+    monkeypatch.setattr(tables, "MANY_ROWS", 5)
+    seen, joined = [], imports.joined
+    monkeypatch.setattr(imports, "joined", lambda rows, other, keys: seen.append(rows.count()) or joined(rows, other, keys))
+    facts = spark.createDataFrame([(f"app.m{k}", "app.base", ["Base", "Other"]) for k in range(50)], "source string, prefix string, names array<string>")
+    mods = spark.createDataFrame([("app.base",), ("app",)], "module string")
+    assert {(r.source, r.target) for r in imports.resolve(facts, mods, "app").collect()} == {(f"app.m{k}", "app.base") for k in range(50)}
+    assert seen[0] < 30 and seen[1] == 100
