@@ -77,7 +77,16 @@ def package_edges(edges: DataFrame) -> DataFrame:
 def main_sequence(classes: DataFrame, edges: DataFrame, of: DataFrame) -> DataFrame:
     """(module, abstractness, distance, inversion): share of abstract classes (module, abstract), null without classes;
     |abstractness + instability - 1|; and the mean abstractness of targets, those without classes counting 0."""
-    share = classes.groupBy("module").agg(F.avg(F.col("abstract").cast("int")).alias("abstractness"))
+    return main_sequence_of(abstractness(classes, "module"), edges, of)
+
+
+def abstractness(classes: DataFrame, by: str) -> DataFrame:
+    """(by, abstractness): the share of abstract classes."""
+    return classes.groupBy(by).agg(F.avg(F.col("abstract").cast("int")).alias("abstractness"))
+
+
+def main_sequence_of(share: DataFrame, edges: DataFrame, of: DataFrame) -> DataFrame:
+    """main_sequence, of modules whose shares of abstract classes (module, abstractness) are known."""
     onto = edges.join(share.withColumnRenamed("module", "target"), "target", "left").groupBy(F.col("source").alias("module")).agg(F.avg(F.coalesce("abstractness", F.lit(0.0))).alias("inversion"))
     out = of.select("module", "instability").join(share, "module", "left").join(onto, "module", "left")
     return out.select("module", "abstractness", F.abs(F.col("abstractness") + F.col("instability") - 1).alias("distance"), "inversion")

@@ -91,3 +91,12 @@ def test_what_is_imported_often_is_looked_up_once(spark, monkeypatch):
     mods = spark.createDataFrame([("app.base",), ("app",)], "module string")
     assert {(r.source, r.target) for r in imports.resolve(facts, mods, "app").collect()} == {(f"app.m{k}", "app.base") for k in range(50)}
     assert seen[0] < 30 and seen[1] == 100
+
+
+def test_shares_of_nations_are_counted_before_they_are_joined(spark, monkeypatch):
+    seen, plain = [], imports.main_sequence_of
+    monkeypatch.setattr(imports, "main_sequence_of", lambda share, edges, of: seen.append((share.count(), share.select("module").distinct().count(), edges.schema["source"].dataType.typeName())) or plain(share, edges, of))
+    n = graph_queries.q_main_sequence(spark, FOLDER).count()
+    assert n == tables.table(spark, FOLDER, "supplier").count()
+    rows, modules, kind = seen[0]
+    assert rows == modules <= n and kind == "long"
