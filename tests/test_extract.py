@@ -26,6 +26,7 @@ ASKED = {
     "q_source_edges": {"imports": None},
     "q_source_narrative": {"callables": None, "classes": None},
     "q_project_violations": {"metrics": ["cyclomatic_complexity"]},
+    "q_ast_clones": {"clones": None},
 }
 
 
